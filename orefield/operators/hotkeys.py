@@ -105,3 +105,24 @@ def heavy_keys(df: DataFrame, key: str, value: str, share: float, bins: int = 25
     counts = key_histogram(df, key, value, bins).groupBy("key").agg(F.sum("n").alias("n_rows"))
     total = counts.agg(F.sum("n_rows").alias("__total"))
     return counts.crossJoin(F.broadcast(total)).where(F.col("n_rows") >= F.col("__total") * F.lit(share)).drop("__total")
+
+
+def hot_split_join(left: DataFrame, right: DataFrame, key: str, parts: int = HOT_PARTS) -> DataFrame:
+    """Inner equi-join of ``left`` with ``right``, which is unique by ``key``, when a few keys hold most rows of ``left``.
+
+    Keys with at least one in ``parts`` of the rows of ``left`` (at most ``parts`` keys, so at most ``parts`` rows of ``right``) are
+    joined by broadcast; the other rows are shuffled on the key, none of which exceeds one in ``parts``. Null keys match nothing.
+    """
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).count()
+    total = counts.agg(F.sum("count").alias("__total"))
+    hot_keys = counts.crossJoin(F.broadcast(total)).where(F.col("count") * parts >= F.col("__total")).select(key)
+    hot_keys = cut_lineage(hot_keys)
+    hot_right = F.broadcast(right.join(F.broadcast(hot_keys), key, "left_semi"))
+    cold_left = left.join(F.broadcast(hot_keys), key, "left_anti")
+    cold_right = right.join(F.broadcast(hot_keys), key, "left_anti")
+    return left.join(hot_right, key).unionByName(cold_left.join(cold_right, key))
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows (counted, not guessed), else unchanged for a shuffle join."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -145,6 +145,6 @@ def split_packed(df: DataFrame, field: str, keep: list[str], pos: str = "pos", v
     """
     if {pos, value} & set(keep):
         raise ValueError(f"keep clashes with the output columns {pos!r}, {value!r}")
-    parts = df.select(*keep, split_field_udf(F.col(field)).alias("__values")).where(F.size("__values") > 0)
+    parts = df.select(*keep, split_field_udf(F.col(field)).alias("__values"))
     out = parts.select(*keep, F.posexplode("__values").alias("__pos", "__value"))
     return out.select(*keep, (F.col("__pos") + 1).cast("int").alias(pos), F.col("__value").alias(value))
