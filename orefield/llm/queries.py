@@ -6,4 +6,4 @@ from orefield.plans.registry import Registry
 
 LLM = Registry()
 
-from orefield.llm import count_queries  # noqa: E402, F401  (registers its queries)
+from orefield.llm import count_queries, text_queries  # noqa: E402, F401  (register their queries)
