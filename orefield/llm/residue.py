@@ -9,8 +9,12 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orefield.operators.hotkeys import bounded_broadcast
 
@@ -31,103 +35,149 @@ REASONS = (
 )
 #: Words before a quotation; what follows them is told, not shown.
 _TOLD = r"(?<!\b(?:wants|wanted|says|said|asks|asked|reads|printed|called|labelled|listed|shows|showed|wrote|like|was|is)\s)"
+#: One word of each reason phrase.
+REASON_WORDS = "bad gateway;bad request;conflict;forbidden;time-out;timeout;gone;internal server;method not;not acceptable;not found;payment required;unavailable;too many;unauthorized"
 _START = r"(?:^|[.!?>:;|]\s+|[.!?>]|\s[-*•]\s)\s*"
 _SCRIPT = r"(?:java\s?scripts?|js|scripts?|scripting|cookies|skripte?n?)"
 _RUNS = "asdf|sdfg|dfgh|fghj|ghjk|hjkl|qwer|wert|erty|rtyu|tyui|yuio|uiop|zxcv|xcvb|cvbn|vbnm"
 _FIELD = "(?:" + FIELDS.replace(" ", "[ _-]?") + ")"
 
-PATTERNS: dict[str, list[str]] = {
+#: Per kind: (literals, separated by semicolons, and pattern) over lower-case lines. A match of the pattern contains at least one of the literals, so the pattern is
+#: only tried on lines that have one.
+PATTERNS: dict[str, list[tuple[str, str]]] = {
     "placeholder": [
-        r"\{\{[^{}]{0,60}\}\}",
-        r"[$#]\{[^{}]{0,60}\}",
-        r"<%[^%]{0,60}%>|\{%[^%]{0,60}%\}",
-        r"<<[^<>]{1,60}>>",
-        r"\[\[[^\[\]]{1,60}\]\]",
-        r"\[object object\]",
-        r"__[a-z][a-z0-9_]{0,40}?__",
-        r"##[a-z][a-z0-9_ ]{0,40}##|@@[a-z][a-z0-9_ ]{0,40}@@",
-        r"\*\|[a-z][a-z0-9_ :]{0,40}\|\*",
-        _TOLD + r"(?<!_)_{4,}",
-        r"%[a-z][a-z_]{1,40}%|%\([a-z_ ]{1,40}\)s",
-        r"(?<![0-9a-z%])%(?:[sd]\b|\d\$s)",
-        rf"{_TOLD}\{{(?:\d{{1,2}}|{_FIELD})\}}",
-        rf"[«‹]{_FIELD}[»›]|<{_FIELD}>",
-        r"\[insert [^\]]{1,40}\]",
-        rf"[(\[{{<](?:your|insert|enter|add) {_FIELD}(?: here)?[)\]}}>]",
-        rf"(?<![\p{{L}}\d])(?:\${_FIELD}\$|~{_FIELD}~|\^{_FIELD}\^|\|{_FIELD}\||!{_FIELD}!)",
-        rf"\byour_{_FIELD}\b|(?<![\p{{L}}_])<?{_FIELD}_(?:here|goes_here)\b",
-        rf"{_TOLD}\[{_FIELD}\]",
-        r"(?<![\"“'<\p{L}\d])(?:undefined|null|nan)(?![\"”'>\p{L}\d])(?! and void)",
-        r"(?<![\p{L}])x{4,}(?![\p{L}])",
+        ("{{", r"\{\{[^{}]{0,60}\}\}"),
+        ("${;#{", r"[$#]\{[^{}]{0,60}\}"),
+        ("<%", r"<%[^%]{0,60}%>"),
+        ("{%", r"\{%[^%]{0,60}%\}"),
+        ("<<", r"<<[^<>]{1,60}>>"),
+        ("[[", r"\[\[[^\[\]]{1,60}\]\]"),
+        ("[object", r"\[object object\]"),
+        ("__", r"__[a-z][a-z0-9_]{0,40}?__"),
+        ("____", _TOLD + r"(?<!_)_{4,}"),
+        ("##;@@", r"##[a-z][a-z0-9_ ]{0,40}##|@@[a-z][a-z0-9_ ]{0,40}@@"),
+        ("*|", r"\*\|[a-z][a-z0-9_ :]{0,40}\|\*"),
+        ("%", r"%[a-z][a-z_]{1,40}%|%\([a-z_ ]{1,40}\)s|(?<![0-9a-z%])%(?:[sd]\b|\d\$s)"),
+        ("{", rf"{_TOLD}\{{(?:\d{{1,2}}|{_FIELD})\}}"),
+        ("«;‹;<", rf"[«‹]{_FIELD}[»›]|<{_FIELD}>"),
+        ("[", rf"\[insert [^\]]{{1,40}}\]|{_TOLD}\[{_FIELD}\]"),
+        ("(your;(insert;(enter;(add;[your;[enter;[add;{your;{insert;{enter;{add;<your;<insert;<enter;<add", rf"[(\[{{<](?:your|insert|enter|add) {_FIELD}(?: here)?[)\]}}>]"),
+        ("your_;_here", rf"\byour_{_FIELD}\b|(?<![\p{{L}}_])<?{_FIELD}_(?:here|goes_here)\b"),
+        (";".join(mark + c for mark in "$~^|!" for c in sorted({w[0] for w in FIELDS.split("|")})), rf"(?<![\p{{L}}\d])(?:\${_FIELD}\$|~{_FIELD}~|\^{_FIELD}\^|\|{_FIELD}\||!{_FIELD}!)"),
+        ("undefined;null;nan", r"(?<![\"“'<\p{L}\d])(?:undefined|null|nan)(?![\"”'>\p{L}\d])(?! and void)"),
+        ("xxxx", r"(?<![\p{L}])x{4,}(?![\p{L}])"),
     ],
     "filler": [
-        rf"(?:\b(?:{FILLER})\b[\s,.;]*){{4,}}",
-        r"\b(\p{L}{2,12})(?:[\s,.]+\1\b){3,}",
-        rf"(?:\b\p{{L}}*(?:{_RUNS})\p{{L}}*\b[\s,.;]*){{2,}}",
-        r"(?:\b(?:dummy|copy|text|sample|words?|test|bla+h?|foo|bar|placeholder|filler|content)\b[\s,.]*){4,}",
-        _START + r"(?:your )?text (?:goes )?here|\b(?:title|image|description|address|name) goes here",
-        r"enter a short description",
-        r"hier (?:steht|kommt) ihr text|votre texte ici|(?:escriba|inserte) aqu[íi] su texto|aqu[íi] va (?:la|el|su)\b",
-        r"ins[ée]rez (?:la|le|votre|une) (?:description|texte)|f[üu]gen sie hier",
-        r"(?:this is |is )(?:placeholder|dummy|sample) (?:copy|text)",
-        r"\b(?:muster|blind|beispiel)text\b|texte (?:provisoire|d'exemple|factice)|texto (?:de ejemplo|de relleno|provisional)|" + _START + r"platzhalter",
-        _START + r"sample (?:headline|paragraph|button|heading|title)\b",
-        r"heading \d\s*/\s*subheading",
-        r"replace this (?:paragraph|text|sentence|copy)",
-        _START + r"add (?:your (?:opening hours|address|logo|text|description|phone)|a photo)\b",
-        _START + r"todo\b\s*:",
-        _START + r"tbd\b(?!\s+\p{L})",
+        (FILLER.replace("|", ";"), rf"(?:\b(?:{FILLER})\b[\s,.;]*+){{4,}}"),
+        (_RUNS.replace("|", ";"), rf"(?:\b\p{{L}}*(?:{_RUNS})\p{{L}}*\b[\s,.;]*){{2,}}"),
+        ("dummy;copy;text;sample;word;test;bla;foo;bar;placeholder;filler;content", r"(?:\b(?:dummy|copy|text|sample|words?|test|bla+h?|foo|bar|placeholder|filler|content)\b[\s,.]*+){4,}"),
+        ("text here;text goes;goes here", _START + r"(?:your )?text (?:goes )?here|\b(?:title|image|description|address|name) goes here"),
+        ("enter a short", r"enter a short description"),
+        ("ihr text;texte ici;su texto;aqu", r"hier (?:steht|kommt) ihr text|votre texte ici|(?:escriba|inserte) aqu[íi] su texto|aqu[íi] va (?:la|el|su)\b"),
+        ("ins;sie hier", r"\bins[ée]rez (?:la|le|votre|une) (?:description|texte)|f[üu]gen sie hier"),
+        ("placeholder;dummy;sample", r"(?:this is |is )(?:placeholder|dummy|sample) (?:copy|text)|" + _START + r"sample (?:headline|paragraph|button|heading|title)\b"),
+        ("text;platzhalter", r"\b(?:muster|blind|beispiel)text\b|texte (?:provisoire|d'exemple|factice)|texto (?:de ejemplo|de relleno|provisional)|" + _START + r"platzhalter"),
+        ("subheading", r"heading \d\s*/\s*subheading"),
+        ("replace this", r"replace this (?:paragraph|text|sentence|copy)"),
+        ("add your;add a photo", _START + r"add (?:your (?:opening hours|address|logo|text|description|phone)|a photo)\b"),
+        ("todo;tbd", _START + r"(?:todo\b\s*:|tbd\b(?!\s+\p{L}))"),
     ],
     "error": [
-        rf"(?<![\p{{L}}\d])[45]\d\d\s*[:\-–(]*\s*(?:{REASONS})\b",
-        r"\b(?:error|fehler|erreur|code)\s+[45]\d\d\b",
-        r"\be[45]\d\d\s*::",
-        r"\"error\"\s*:",
-        _START + rf"(?:{REASONS})\s*(?:[.:(<]|$)",
-        _START + r"(?:interner serverfehler|erreur interne|error interno)",
-        r"\bupstream (?:returned \d|host did not)",
-        r"\bstatus=\d+\s+message=",
-        _START + r"(?:access denied|acceso denegado|acc[èe]s refus[ée]|zugriff verweigert)\b",
-        _START + r"(?:page|site|service) (?:unavailable|not found)\b",
-        _START + r"page (?:has|was) (?:moved|removed)|this page (?:has moved|is no longer available|does not exist|cannot be)",
-        _START + r"(?:an )?unexpected error|(?:an )?unexpected error occurred",
-        r"page you (?:requested|are looking for) (?:does not exist|could not be found|cannot be found)|can['’]t find the (?:page|business|listing|place) you",
-        r"seite nicht gefunden|p[áa]gina no encontrada|page introuvable",
-        r"could not complete your request|server (?:is not responding|antwortet nicht)|servidor no responde|serveur ne r[ée]pond pas",
-        _START + r"(?:oops|something went wrong)\b|ha ocurrido un error|ein fehler ist aufgetreten|une erreur (?:est survenue|s'est produite)",
-        r"traceback \(most recent call last\)",
-        r"\b[a-z]{2,40}(?:error|exception):\s",
-        r"\bfatal error:|\buncaught exception\b",
-        r"certificate not valid|connection to this site is not (?:private|secure)",
-        r"\bconnection: close\b|\bconnection (?:failed|refused|timed out)\b",
-        r"content is not available in your (?:region|country)|do not have permission to|not authorized to (?:view|access)",
-        r"\byour session (?:has |is )?(?:expired|ended|timed out)|sitzung ist abgelaufen|sesi[óo]n ha (?:caducado|expirado)|session a expir[ée]|sign in again to continue",
-        r"(?:versuchen sie es|try again) (?:sp[äa]ter|later)|int[ée]ntelo (?:de nuevo|m[áa]s tarde)|veuillez r[ée]essayer",
-        _START + r"(?:reviews|comments|results|menu) cannot be (?:shown|loaded|displayed)",
-        r"\brequest id\s+[0-9a-f]{4,}|\breference: [0-9a-f]{4,}\b",
-        r"scheduled maintenance until|(?:site|page) is (?:down|under) (?:for )?maintenance",
+        (REASON_WORDS, rf"(?<![\p{{L}}\d])[45]\d\d\s*[:\-–(]*\s*(?:{REASONS})\b|" + _START + rf"(?:{REASONS})\s*(?:[.:(<]|$)"),
+        ("error;fehler;erreur;code", r"\b(?:error|fehler|erreur|code)\s+[45]\d\d\b"),
+        ("::", r"\be[45]\d\d\s*::"),
+        ("\"error\"", r"\"error\"\s*:"),
+        ("serverfehler;erreur interne;error interno", _START + r"(?:interner serverfehler|erreur interne|error interno)"),
+        ("upstream", r"\bupstream (?:returned \d|host did not)"),
+        ("status=", r"\bstatus=\d+\s+message="),
+        ("access denied;acceso denegado;accès;acces refus;zugriff verweigert", _START + r"(?:access denied|acceso denegado|acc[èe]s refus[ée]|zugriff verweigert)\b"),
+        ("unavailable;not found;page has;page was;this page;page is;site is", _START + r"(?:page|site|service) (?:unavailable|not found)\b|" + _START + r"page (?:has|was) (?:moved|removed)|this page (?:has moved|is no longer available|does not exist|cannot be)|(?:site|page) is (?:down|under) (?:for )?maintenance"),
+        ("unexpected error", r"unexpected error occurred|" + _START + r"(?:an )?unexpected error"),
+        ("page you;t find the", r"page you (?:requested|are looking for) (?:does not exist|could not be found|cannot be found)|can['’]t find the (?:page|business|listing|place) you"),
+        ("nicht gefunden;no encontrada;introuvable", r"seite nicht gefunden|p[áa]gina no encontrada|page introuvable"),
+        ("your request;server;servidor;serveur", r"could not complete your request|server (?:is not responding|antwortet nicht)|servidor no responde|serveur ne r[ée]pond pas"),
+        ("oops;something went;ha ocurrido;ein fehler;une erreur", _START + r"(?:oops|something went wrong)\b|ha ocurrido un error|ein fehler ist aufgetreten|une erreur (?:est survenue|s'est produite)"),
+        ("traceback", r"traceback \(most recent call last\)"),
+        ("error:;exception", r"\b[a-z]{2,40}(?:error|exception):\s|\bfatal error:|\buncaught exception\b"),
+        ("certificate;this site", r"certificate not valid|connection to this site is not (?:private|secure)"),
+        ("connection", r"\bconnection: close\b|\bconnection (?:failed|refused|timed out)\b"),
+        ("in your;permission;authorized", r"content is not available in your (?:region|country)|do not have permission to|not authorized to (?:view|access)"),
+        ("session;sitzung;sesi;sign in", r"\byour session (?:has |is )?(?:expired|ended|timed out)|sitzung ist abgelaufen|sesi[óo]n ha (?:caducado|expirado)|session a expir[ée]|sign in again to continue"),
+        ("versuchen;try again;ntelo;veuillez", r"(?:versuchen sie es|try again) (?:sp[äa]ter|later)|int[ée]ntelo (?:de nuevo|m[áa]s tarde)|veuillez r[ée]essayer"),
+        ("cannot be", _START + r"(?:reviews|comments|results|menu) cannot be (?:shown|loaded|displayed)"),
+        ("request id;reference:", r"\brequest id\s+[0-9a-f]{4,}|\breference: [0-9a-f]{4,}\b"),
+        ("scheduled maintenance", r"scheduled maintenance until"),
     ],
     "script": [
-        rf"\b(?:enable|activate|switch on|turn on|allow|accept|need|needs|requires?)\s+(?:[\p{{L}}-]+\s+){{0,3}}?(?<!\bloyalty\s){_SCRIPT}\b(?=[^\p{{L}}]|$)",
-        rf"\b{_SCRIPT} (?:is|are) (?:disabled|not enabled|turned off|switched off|blocked|required to|needed to)",
-        r"\bbrowser (?:is not|isn't|is no longer) supported|\bbrowser is (?:out of date|too old|outdated)",
-        r"\bbrowser (?:does not|doesn't|cannot|can't) (?:support|run|show|display)",
-        r"\bnoscript\s*:",
-        r"\bnot a robot,? then\b|\b(?:confirm|verify|prove|check)(?:ing)? (?:that |if )?you are (?:not a robot|a? ?human)",
-        r"\b(?:checking|verifying) your browser\b",
-        r"\b(?:turn|switch) off your ad ?blocker|\bdisable your ad ?blocker",
-        rf"\bn[ée]cessite (?:[\p{{L}}-]+\s+){{0,2}}?{_SCRIPT}\b",
-        rf"\b(?:active[rz]?|habilite|permita|acepte|autorisez|acceptez) (?:los |las |les |le )?{_SCRIPT}\b",
-        rf"\b(?:aktivieren|erlauben|akzeptieren) sie {_SCRIPT}\b",
-        r"\bno admite scripts|\bne prend pas en charge (?:les )?scripts|\bunterst[üu]tzt keine skripte",
+        ("script;js;cookies;skript", rf"\b(?:enable|activate|switch on|turn on|allow|accept|need|needs|requires?)\s+(?:[\p{{L}}-]+\s+){{0,3}}?{_SCRIPT}\b"),
+        ("script;js;cookies", rf"\b{_SCRIPT} (?:is|are) (?:disabled|not enabled|turned off|switched off|blocked|required to|needed to)"),
+        ("browser", r"\bbrowser (?:is not|isn't|is no longer) supported|\bbrowser is (?:out of date|too old|outdated)|\bbrowser (?:does not|doesn't|cannot|can't) (?:support|run|show|display)|\b(?:checking|verifying) your browser\b"),
+        ("noscript", r"\bnoscript\s*:"),
+        ("robot;human", r"\bnot a robot,? then\b|\b(?:confirm|verify|prove|check)(?:ing)? (?:that |if )?you are (?:not a robot|a? ?human)"),
+        ("blocker", r"\b(?:turn|switch) off your ad ?blocker|\bdisable your ad ?blocker"),
+        ("cessite;activ;habilite;permita;acepte;autorisez;acceptez;aktivieren;erlauben;akzeptieren", rf"\bn[ée]cessite (?:[\p{{L}}-]+\s+){{0,2}}?{_SCRIPT}\b|\b(?:active[rz]?|habilite|permita|acepte|autorisez|acceptez) (?:los |las |les |le )?{_SCRIPT}\b|\b(?:aktivieren|erlauben|akzeptieren) sie {_SCRIPT}\b"),
+        ("scripts;skripte", r"\bno admite scripts|\bne prend pas en charge (?:les )?scripts|\bunterst[üu]tzt keine skripte"),
     ],
 }
 
 
-def evidence(line: Column) -> Column:
-    """The kind of evidence in a line, null if none; the first kind in the order of ``PATTERNS``."""
-    kinds = [F.when(line.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(kind)) for kind, patterns in PATTERNS.items()]
-    return F.coalesce(*kinds)
+_SEPARATORS = str.maketrans(",.;", "   ")
+
+
+def _repeated(line: str) -> bool:
+    """Whether a word of 2 to 12 letters stands four times in a row: filler by repetition."""
+    words = line.translate(_SEPARATORS).split()
+    return any(a == b == c == d and 2 <= len(a) <= 12 and a.isalpha() for a, b, c, d in zip(words, words[1:], words[2:], words[3:]))
+
+
+@lru_cache(maxsize=1)
+def _compiled() -> tuple[list[tuple[str, object]], object | None, dict[str, list[int]]]:
+    """Patterns in order (kind, compiled), the automaton of all literals, and the patterns of each literal."""
+    import regex
+
+    patterns, literals = [], {}
+    for kind, listed in PATTERNS.items():
+        for words, pattern in listed:
+            for word in words.split(";"):
+                literals.setdefault(word, []).append(len(patterns))
+            patterns.append((kind, regex.compile(pattern)))
+    try:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for word, places in literals.items():
+            automaton.add_word(word, places)
+        automaton.make_automaton()
+    except ImportError:
+        automaton = None
+    return patterns, automaton, literals
+
+
+def evidence_of(line: str | None) -> str | None:
+    """The kind of evidence in a line, None if there is none; the first kind in the order of ``PATTERNS``, repeated words last."""
+    if not line:
+        return None
+    patterns, automaton, literals = _compiled()
+    line = line.lower()
+    tried: set[int] = set()
+    if automaton is not None:
+        for _, places in automaton.iter(line):
+            tried.update(places)
+    else:
+        for word, places in literals.items():
+            if word in line:
+                tried.update(places)
+    for place in sorted(tried):
+        kind, pattern = patterns[place]
+        if pattern.search(line):
+            return kind
+    return "filler" if _repeated(line) else None
+
+
+@F.pandas_udf(T.StringType())
+def evidence(lines: pd.Series) -> pd.Series:
+    """``evidence_of`` over Arrow batches. As one JVM expression the patterns exceed what is compiled and run interpreted."""
+    return lines.map(evidence_of, na_action="ignore")
 
 
 def normal_line(line: Column) -> Column:
@@ -152,7 +202,7 @@ def residue_lines(documents: DataFrame, doc_id: str, text: str, host: str, boile
     counts = hashed.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"))
     hosts = base.groupBy("host").agg(F.count(F.lit(1)).alias("all_docs"))
     recurrent = counts.where(F.col("docs") >= boilerplate_least).join(hosts, "host").where(F.col("docs") > F.col("all_docs") * F.lit(boilerplate_share)).select("host", "h")
-    found = lines.withColumn("kind", evidence(F.col("line"))).where("kind IS NOT NULL").withColumn("h", F.xxhash64("key"))
+    found = lines.withColumn("kind", evidence("line")).where("kind IS NOT NULL").withColumn("h", F.xxhash64("key"))
     return found.join(bounded_broadcast(recurrent, max_broadcast), ["host", "h"], "left_anti").select("doc_id", "line", "kind")
 
 
