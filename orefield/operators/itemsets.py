@@ -87,8 +87,9 @@ def son_candidates(rows: DataFrame, support: int, partitions: int) -> DataFrame:
 
     def mine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = [frozenset(items) for frame in frames for items in frame["items"]]
-        if sets:
-            yield pd.DataFrame({"items": [list(c) for c in apriori_local(sets, threshold)]})
+        found = apriori_local(sets, threshold)
+        if found:
+            yield pd.DataFrame({"items": [list(c) for c in found]})
 
     spread = basket_arrays(rows).repartition(partitions, "basket").select("items")
     return spread.mapInPandas(mine, "items array<string>").distinct()
