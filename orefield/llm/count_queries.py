@@ -9,7 +9,7 @@ from orefield.llm.frequency import marked_frequencies, words_of
 from orefield.llm.heavy import iceberg
 from orefield.llm.overlap import expand_pairs, overlap_join
 from orefield.llm.queries import LLM
-from orefield.llm.setsketch import SketchSpec, joint_estimates, sketch_sets, with_estimates
+from orefield.llm.setsketch import SketchSpec, joint_estimates, merge_sketches, sketch_sets, with_estimates
 from orefield.operators.hotkeys import bounded_broadcast, hot_split_join
 from orefield.operators.packed import split_field_udf
 from orefield.session import cut_lineage
@@ -181,15 +181,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @LLM.add("p7_counts")
 def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct users per city and day, per city, and per day, the latter two rolled up from the partial sketches of both."""
-    from orefield.llm.setsketch import merge_sketches
-
+    """Distinct users per city and day, per city (rolled up from the sketches of both), and per day over all reviews."""
     both = cut_lineage(sketch_sets(city_reviews(spark, sf_dir), ["city_name", "review_day"], "user_id", SPEC))
+    every = table(spark, sf_dir, "review").select(day_of("date").alias("review_day"), "user_id")
     none = F.lit(None).cast("string")
     levels = [
         both.select(F.lit("city and day").alias("level"), "city_name", "review_day", "is_sparse", "payload"),
         merge_sketches(both, ["city_name"], SPEC).select(F.lit("city").alias("level"), "city_name", none.alias("review_day"), "is_sparse", "payload"),
-        merge_sketches(both, ["review_day"], SPEC).select(F.lit("day").alias("level"), none.alias("city_name"), "review_day", "is_sparse", "payload"),
+        sketch_sets(every, ["review_day"], "user_id", SPEC).select(F.lit("day").alias("level"), none.alias("city_name"), "review_day", "is_sparse", "payload"),
     ]
     counted = with_estimates(levels[0].unionByName(levels[1]).unionByName(levels[2]), SPEC)
     return counted.select("level", "city_name", "review_day", F.round("n_distinct").cast("long").alias("n_users"), "rel_error")
