@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orefield.functions.hashing import bytes_mod
-from orefield.operators.reservoir import slot_of
+from orefield.operators.reservoir import reservoir_tags, slot_of, top_frequencies
 from orefield.operators.sketches import fm_estimate, fm_maxima
 
 
@@ -28,12 +29,22 @@ def stream_reservoir(events: DataFrame, n: str, item: str, size: int, seed: int)
     return placed.groupBy("slot").agg(F.max("n").alias("n"), F.max_by("item", "n").alias("item"))
 
 
+def top_tags_sink(path: str, item: str, ranks: int = 3):
+    """A ``foreachBatch`` function for ``stream_reservoir`` in complete mode: after each micro-batch, the tags of highest frequency.
+
+    Each batch has its own folder, so replaying it after a failure overwrites the same report.
+    """
+
+    def report(sample: DataFrame, batch_id: int) -> None:
+        top_frequencies(reservoir_tags(sample, item), "tag", ranks).orderBy("rank", "tag").write.mode("overwrite").json(f"{path}/batch={batch_id}")
+
+    return report
+
+
 def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """Run a stream over everything that is available and return its result as a table."""
     spark = stream.sparkSession
     base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="orefield-stream-")
-    import uuid
-
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)

@@ -8,7 +8,7 @@ from orefield.operators.reservoir import reservoir
 from orefield.operators.sketches import fm_windows
 from orefield.sources import readers, writers
 from orefield.sources.tables import latest_by
-from orefield.streaming.pipelines import run_to_end, stream_fm, stream_reservoir
+from orefield.streaming.pipelines import run_to_end, stream_fm, stream_reservoir, top_tags_sink
 
 
 def lines(path):
@@ -77,4 +77,6 @@ def test_streams_match_batch(spark, tmp_path):
     for _ in range(2):
         sink(batch_rows.select("n").limit(5), 0)
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 5
-    assert F is not None
+    tags = batch_rows.select("n", F.array("k").alias("tags"))
+    top_tags_sink(str(tmp_path / "tags"), "item")(reservoir(tags, "n", "tags", 20, 5), 3)
+    assert spark.read.json(str(tmp_path / "tags")).where("rank = 1").count() >= 1
