@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orefield.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -20,7 +23,13 @@ class Registry:
         def register(function: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"query {name!r} is registered twice")
-            self.queries[name] = function
+
+            @wraps(function)
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                ship_package(spark)
+                return function(spark, sf_dir)
+
+            self.queries[name] = run
             if sql is not None:
                 self.sql[name] = sql
             return function

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +60,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per context, so that they need not have it installed or on their path.
+
+    The archive is served to all executors by the driver, like any file added to a job.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_orefield_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="orefield-package-")) / "orefield_package.zip"
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for source in sorted(package.rglob("*.py")):
+            bundle.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._orefield_shipped = True
+
+
 @contextmanager
 def reused(df: DataFrame):
     """Keep ``df`` in memory and on disk inside the block; lost blocks are recomputed from lineage."""
