@@ -49,8 +49,6 @@ def _quoted(text: str, at: int, close: str) -> tuple[str, int] | None:
             i += 2
         elif c == close:
             if text.startswith(close, i + 1) and close in "\"'":
-                if _ENDS.match(text, i + 2) and not parts and i == at:
-                    return None
                 parts.append(close)
                 i += 2
             elif _ENDS.match(text, i + 1):
