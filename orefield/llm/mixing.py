@@ -72,10 +72,10 @@ def mix(items: DataFrame, item_id: str, size: str, levels: list[str], targets: D
     """
     key = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in levels]), {"ignoreNullFields": "false"})
     base = items.select(F.col(item_id).alias("item_id"), *levels, F.col(size).cast("long").alias("n_tokens"), key.alias("__leaf")).where("n_tokens > 0 AND item_id IS NOT NULL")
-    shares = {r[0]: (float(r[1]), int(r[2])) for r in targets.select(F.col(levels[0]).cast("string"), "target_share", "max_repeats").limit(MAX_LEAVES).collect()}
+    shares = {r[0]: (float(r[1]), int(r[2])) for r in targets.select(F.col(levels[0]).cast("string"), "target_share", "max_repeats").limit(MAX_LEAVES + 1).collect()}
     stats = base.groupBy("__leaf", *[F.col(c).cast("string").alias(c) for c in levels]).agg(F.sum("n_tokens").alias("size")).limit(MAX_LEAVES + 1).collect()
-    if len(stats) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves in the source tree")
+    if max(len(stats), len(shares)) > MAX_LEAVES:
+        raise ValueError(f"more than {MAX_LEAVES} leaves or targets in the source tree")
     root, leaves = _tree(stats, levels, shares)
     root.allocate(largest_total(root) if total is None else float(total))
 

@@ -11,10 +11,14 @@ from orefield.llm.packing import pack
 from orefield.llm.queries import LLM
 from orefield.llm.residue import residue_documents, residue_lines
 from orefield.llm.tokens import VOCABULARY, token_count
+from orefield.operators.hotkeys import bounded_broadcast
 from orefield.session import cut_lineage
 from orefield.sources.tables import table
 
 
+REF_CITIES = 10_000
+
+
 def typed_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Business rows whose city is neither null nor blank."""
     return table(spark, sf_dir, "business").select("record_id", "city").where(F.col("city").rlike("[^\\s\\u00a0]"))
@@ -27,7 +31,7 @@ def city_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.add("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listed city each freely typed one means, 0 if none; rows that have a listed name exactly are left out."""
-    exact = F.broadcast(table(spark, sf_dir, "ref_city").select(F.col("city_name").alias("value")).limit(10_000))
+    exact = bounded_broadcast(table(spark, sf_dir, "ref_city").select(F.col("city_name").alias("value")), REF_CITIES)
     matches = city_matches(spark, sf_dir)
     mapped = map_rows(typed_cities(spark, sf_dir), "city", matches, ["record_id"])
     return mapped.join(exact, "value", "left_anti").select("record_id", F.coalesce("ref_id", F.lit(0)).cast("int").alias("city_id"))
