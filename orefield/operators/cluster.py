@@ -143,7 +143,10 @@ class BfrState:
 
 
 def _collect_summaries(assigned: DataFrame) -> dict[int, Summary]:
-    return {r["cluster"]: Summary(r["n"], list(r["sum"]), list(r["sumsq"])) for r in summaries(assigned).limit(MAX_CENTROIDS).collect()}
+    rows = summaries(assigned).limit(MAX_CENTROIDS + 1).collect()
+    if len(rows) > MAX_CENTROIDS:
+        raise ValueError(f"more than {MAX_CENTROIDS} clusters")
+    return {r["cluster"]: Summary(r["n"], list(r["sum"]), list(r["sumsq"])) for r in rows}
 
 
 def _stats(clusters: dict[int, Summary]) -> list[tuple[int, list[float], list[float]]]:
