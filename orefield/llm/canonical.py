@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orefield.operators.hotkeys import hot_split_join
-from orefield.session import cut_lineage
+from orefield.session import cut_lineage, default_parallelism
 
 #: Common abbreviations in place names.
 ABBREVIATIONS = {
@@ -189,7 +189,9 @@ def match_values(values: DataFrame, value: str, reference: DataFrame, ref_id: st
     dictionary = entries.where("name_form <> ''").select("ref_id", "freq", "name_form", F.explode(reference_keys("name_form")).alias("key"))
     dictionary = cut_lineage(dictionary)
 
-    looked_up = distinct.select("value", F.explode(keyed_forms("value")).alias("f")).select("value", "f.form", "f.cost", F.explode("f.keys").alias("key"))
+    # few bytes, much work per value: spread over all cores, not by file size
+    spread = distinct.repartition(default_parallelism(distinct.sparkSession), "value")
+    looked_up = spread.select("value", F.explode(keyed_forms("value")).alias("f")).select("value", "f.form", "f.cost", F.explode("f.keys").alias("key"))
     candidates = looked_up.join(hint(dictionary), "key").select("value", "form", "cost", "ref_id", "freq", "name_form").distinct()
     scored = candidates.withColumn("distance", distance("form", "name_form")).where("distance IS NOT NULL AND NOT isnan(distance)")
     score = F.struct(F.round(F.col("distance") + F.col("cost"), 6).alias("distance"), (-F.col("freq")).alias("freq"), "ref_id")
