@@ -1,14 +1,17 @@
 """Template residue, filler, error pages and notices asking for scripts, told apart from texts that merely mention them.
 
-1. Lines are normalised (case, digits, tags, list marks, blanks) and counted by host: in how many of its documents a line occurs.
-2. Lines in more than ``boilerplate_share`` of a host's documents are its boilerplate and are subtracted: what a site repeats
-   everywhere, a cookie banner for instance, is not a fault of the single document.
+1. Lines are normalised (case, digits, tags, list marks, blanks) and counted by host: in how many of its distinct texts a line occurs.
+   Documents with the same normalised lines are one text and have one vote, so copies of an error page make nothing boilerplate.
+2. Lines in more than ``boilerplate_share`` of a host's texts are its boilerplate and are subtracted: what a site repeats
+   everywhere, a cookie banner for instance, is not a fault of the single document. A document of boilerplate alone keeps its lines:
+   there the notice stands in the place of content.
 3. A document is excluded if a line of its residual holds evidence. The patterns want the form of a notice (a placeholder in its
    marks, a status code with its phrase, an imperative before "JavaScript"), not its words alone.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import pandas as pd
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orefield.operators.hotkeys import bounded_broadcast
+from orefield.session import cut_lineage
 
 #: Names of fields in unfilled templates.
 FIELDS = (
@@ -174,10 +177,19 @@ def evidence_of(line: str | None) -> str | None:
     return "filler" if _repeated(line) else None
 
 
-@F.pandas_udf(T.StringType())
-def evidence(lines: pd.Series) -> pd.Series:
-    """``evidence_of`` over Arrow batches. As one JVM expression the patterns exceed what is compiled and run interpreted."""
-    return lines.map(evidence_of, na_action="ignore")
+_BREAKS = r"\r\n|[\n\r\u2028]"
+_FOUND = T.ArrayType(T.StructType([T.StructField("line", T.StringType()), T.StructField("kind", T.StringType())]))
+
+
+def _evidence_lines(text: str) -> list[dict[str, str]]:
+    found = ((line, evidence_of(line)) for line in re.split(_BREAKS, text))
+    return [{"line": line, "kind": kind} for line, kind in found if kind]
+
+
+@F.pandas_udf(_FOUND)
+def evidence(texts: pd.Series) -> pd.Series:
+    """The lines of each text with evidence, over Arrow batches. As one JVM expression the patterns exceed what is compiled and run interpreted."""
+    return texts.map(_evidence_lines)
 
 
 def normal_line(line: Column) -> Column:
@@ -190,20 +202,32 @@ def normal_line(line: Column) -> Column:
 def residue_lines(documents: DataFrame, doc_id: str, text: str, host: str, boilerplate_share: float = 0.2, boilerplate_least: int = 20, max_broadcast: int = 100_000) -> DataFrame:
     """Lines with evidence in the residual of each document: (doc_id, line, kind).
 
-    A line is boilerplate of its host if it occurs in more than ``boilerplate_share`` of the host's documents and in at least
-    ``boilerplate_least``. Null hosts form one host. Null and empty texts have no lines; a text without line breaks is one line.
-    Counts by (host, line hash) merge before the exchange; evidence is looked for before the subtraction, so only lines with evidence
-    meet the boilerplate table, which is broadcast up to ``max_broadcast`` rows and joined by shuffle beyond.
+    A line is boilerplate of its host if it occurs in at least two and more than ``boilerplate_share`` of the host's distinct texts, and
+    in at least ``boilerplate_least`` documents. From a document that would be left without a line with a letter nothing is subtracted.
+    Null hosts form one host. Null and empty texts have no lines; a text without line breaks is one line. Copies, and then counts by
+    (host, line hash), merge before the exchange; evidence is looked for before the subtraction, so only documents with evidence meet the
+    boilerplate, one array per host of at most 1 / ``boilerplate_share`` times the mean number of lines of its texts. It is broadcast up
+    to ``max_broadcast`` lines in all and joined by shuffle beyond.
     """
     base = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("text")).where("text IS NOT NULL")
-    lines = base.select("doc_id", "host", F.explode(F.split("text", "\\r\\n|[\\n\\r\\u2028]")).alias("line"))
-    lines = lines.withColumn("key", normal_line(F.col("line"))).where("key <> ''")
-    hashed = lines.select("doc_id", "host", F.xxhash64("key").alias("h")).distinct()
-    counts = hashed.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"))
-    hosts = base.groupBy("host").agg(F.count(F.lit(1)).alias("all_docs"))
-    recurrent = counts.where(F.col("docs") >= boilerplate_least).join(hosts, "host").where(F.col("docs") > F.col("all_docs") * F.lit(boilerplate_share)).select("host", "h")
-    found = lines.withColumn("kind", evidence("line")).where("kind IS NOT NULL").withColumn("h", F.xxhash64("key"))
-    return found.join(bounded_broadcast(recurrent, max_broadcast), ["host", "h"], "left_anti").select("doc_id", "line", "kind")
+    keys = F.filter(F.transform(F.split("text", _BREAKS), normal_line), lambda k: k != "")
+    hashes = lambda kept: F.transform(kept, lambda k: F.xxhash64(k))
+    texts = base.select("host", F.array_sort(F.array_distinct(hashes(keys))).alias("hs")).groupBy("host", "hs").agg(F.count(F.lit(1)).alias("docs"))
+    # the null entry of each text counts the texts of its host
+    votes = texts.select("host", "docs", F.explode(F.concat("hs", F.array(F.lit(None).cast("long")))).alias("h"))
+    counts = votes.groupBy("host", "h").agg(F.count(F.lit(1)).alias("texts"), F.sum("docs").alias("docs"))
+    counts = cut_lineage(counts.where((F.col("docs") >= boilerplate_least) & ((F.col("texts") > 1) | F.col("h").isNull())))
+    hosts = counts.where("h IS NULL").select("host", F.col("texts").alias("all_texts"))
+    recurrent = counts.where("h IS NOT NULL").join(hosts, "host").where(F.col("texts") > F.col("all_texts") * F.lit(boilerplate_share))
+    boilerplate = recurrent.groupBy("host").agg(F.collect_list("h").alias("boilerplate"))
+    if recurrent.limit(max_broadcast + 1).count() <= max_broadcast:
+        boilerplate = F.broadcast(boilerplate)
+    found = base.withColumn("found", evidence("text")).where(F.size("found") > 0)
+    found = found.select("doc_id", "host", "found", hashes(F.filter(keys, lambda k: k.rlike("\\p{L}"))).alias("content")).join(boilerplate, "host", "left")
+    known = F.coalesce("boilerplate", F.array().cast("array<long>"))
+    own = F.filter("found", lambda f: ~F.array_contains(known, F.xxhash64(normal_line(f["line"]))))
+    bare = F.size(F.array_except("content", known)) == 0
+    return found.select("doc_id", F.explode(F.when(bare, F.col("found")).otherwise(own)).alias("f")).select("doc_id", "f.line", "f.kind")
 
 
 def residue_documents(documents: DataFrame, doc_id: str, text: str, host: str, **options) -> DataFrame:

@@ -176,6 +176,19 @@ def test_residue_documents(spark):
     assert residue_documents(df.limit(0), "doc_id", "text", "host").count() == 0
 
 
+def test_copies_are_no_boilerplate(spark):
+    page = "HTTP 502 Bad Gateway\n-----\nThe server did not answer, request {}."
+    mail = "Dear {{ customer }}, thank you.\nWe look forward to your visit."
+    copies = [(k, page.format(k), "h1") for k in range(100)] + [(100 + k, mail, "h2") for k in range(30)]
+    copies += [(200 + k, f"{FOUND[0]}\n{FOUND[k % 2]}", "h3") for k in range(40)]
+    real = [(1000 + k, f"A good soup {chr(97 + k % 26)}{chr(97 + k // 26)}.", "h1") for k in range(200)] + [(2000, "Nice.", "h2"), (2001, "Fine.", "h2")]
+    df = spark.createDataFrame(copies + real, "doc_id long, text string, host string")
+    for options in ({}, {"max_broadcast": 0}):
+        got = {r.doc_id for r in residue_documents(df, "doc_id", "text", "host", **options).collect()}
+        assert got == {r[0] for r in copies}
+    assert clean_documents(df, "doc_id", "text", "host").count() == len(real)
+
+
 def test_tokens(spark):
     texts = ["Hello  world", "", None, "Größe 😀\n\n x" * 50]
     got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select(token_count(F.col("t")).alias("n")).collect()]
