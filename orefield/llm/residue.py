@@ -49,21 +49,21 @@ _FIELD = "(?:" + FIELDS.replace(" ", "[ _-]?") + ")"
 #: only tried on lines that have one.
 PATTERNS: dict[str, list[tuple[str, str]]] = {
     "placeholder": [
-        ("{{", r"\{\{[^{}]{0,60}\}\}"),
-        ("${;#{", r"[$#]\{[^{}]{0,60}\}"),
-        ("<%", r"<%[^%]{0,60}%>"),
-        ("{%", r"\{%[^%]{0,60}%\}"),
-        ("<<", r"<<[^<>]{1,60}>>"),
-        ("[[", r"\[\[[^\[\]]{1,60}\]\]"),
+        ("{{", r"\{\{[^{}]*\}\}"),
+        ("${;#{", r"[$#]\{[^{}]*\}"),
+        ("<%", r"<%[^%]*%>"),
+        ("{%", r"\{%[^%]*%\}"),
+        ("<<", r"<<[^<>]+>>"),
+        ("[[", r"\[\[[^\[\]]+\]\]"),
         ("[object", r"\[object object\]"),
-        ("__", r"__[a-z][a-z0-9_]{0,40}?__"),
+        ("__", r"__[a-z][a-z0-9_]*?__"),
         ("____", _TOLD + r"(?<!_)_{4,}"),
-        ("##;@@", r"##[a-z][a-z0-9_ ]{0,40}##|@@[a-z][a-z0-9_ ]{0,40}@@"),
-        ("*|", r"\*\|[a-z][a-z0-9_ :]{0,40}\|\*"),
-        ("%", r"%[a-z][a-z_]{1,40}%|%\([a-z_ ]{1,40}\)s|(?<![0-9a-z%])%(?:[sd]\b|\d\$s)"),
+        ("##;@@", r"##[a-z][a-z0-9_ ]*##|@@[a-z][a-z0-9_ ]*@@"),
+        ("*|", r"\*\|[a-z][a-z0-9_ :]*\|\*"),
+        ("%", r"%[a-z][a-z_]+%|%\([a-z_ ]+\)s|(?<![0-9a-z%])%(?:[sd]\b|\d\$s)"),
         ("{", rf"{_TOLD}\{{(?:\d{{1,2}}|{_FIELD})\}}"),
         ("«;‹;<", rf"[«‹]{_FIELD}[»›]|<{_FIELD}>"),
-        ("[", rf"\[insert [^\]]{{1,40}}\]|{_TOLD}\[{_FIELD}\]"),
+        ("[", rf"\[insert [^\]]+\]|{_TOLD}\[{_FIELD}\]"),
         ("(your;(insert;(enter;(add;[your;[enter;[add;{your;{insert;{enter;{add;<your;<insert;<enter;<add", rf"[(\[{{<](?:your|insert|enter|add) {_FIELD}(?: here)?[)\]}}>]"),
         ("your_;_here", rf"\byour_{_FIELD}\b|(?<![\p{{L}}_])<?{_FIELD}_(?:here|goes_here)\b"),
         (";".join(mark + c for mark in "$~^|!" for c in sorted({w[0] for w in FIELDS.split("|")})), rf"(?<![\p{{L}}\d])(?:\${_FIELD}\$|~{_FIELD}~|\^{_FIELD}\^|\|{_FIELD}\||!{_FIELD}!)"),

@@ -100,5 +100,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @LLM.add("p10_evidence")
 def p10_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines that hold the evidence, with its kind."""
-    return residue_lines(table(spark, sf_dir, "documents"), "doc_id", "text", "source").select("doc_id", F.substring("line", 1, 200).alias("line"), "kind")
+    """The whole lines that hold the evidence, with its kind."""
+    return residue_lines(table(spark, sf_dir, "documents"), "doc_id", "text", "source")

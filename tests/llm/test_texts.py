@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orefield.llm.canonical import delete_keys, edit_distances, forms, map_rows, match_values
 from orefield.llm.mixing import mix, reached_shares
 from orefield.llm.packing import best_fit_runs, pack
+from orefield.llm.queries import LLM
 from orefield.llm.residue import PATTERNS, clean_documents, evidence_of, residue_documents
 from orefield.llm.tokens import encoder, VOCABULARY, token_count
 
@@ -176,6 +177,17 @@ def test_residue_documents(spark):
     assert residue_documents(df.limit(0), "doc_id", "text", "host").count() == 0
 
 
+def test_long_placeholders_and_lines(spark, tmp_path):
+    long = "an expression of more than sixty characters that nobody ever filled in " * 2
+    names = "a_name_of_more_than_forty_letters_that_nobody_ever_filled_in"
+    marks = [f"{{{{ {long}}}}}", f"${{{long}}}", f"<% {long}%>", f"{{% {long}%}}", f"<<{long}>>", f"[[{long}]]", f"[insert {long}]"]
+    marks += [f"__{names}__", f"##{names}##", f"@@{names}@@", f"*|{names}|*", f"%{names}%", f"%({names})s"]
+    assert all(evidence_of(mark) == "placeholder" for mark in marks)
+    text = "word " * 100 + FOUND[0]
+    spark.createDataFrame([(1, text, "h")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.line for r in LLM.queries["p10_evidence"](spark, str(tmp_path)).collect()] == [text]
+
+
 def test_copies_are_no_boilerplate(spark):
     page = "HTTP 502 Bad Gateway\n-----\nThe server did not answer, request {}."
     mail = "Dear {{ customer }}, thank you.\nWe look forward to your visit."
