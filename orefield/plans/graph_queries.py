@@ -121,5 +121,5 @@ def edge_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CORE.add("girvan_newman")
 def girvan_newman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of greatest modularity; iterative, so without SQL."""
-    best, score = graph.girvan_newman(edges(spark, sf_dir, SHARED_CUT), max_cuts=8)
+    best, score = graph.girvan_newman(edges(spark, sf_dir, SHARED_CUT))
     return best.withColumn("modularity", F.lit(score))

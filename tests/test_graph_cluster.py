@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from orefield.operators import cluster, graph
+from orefield.plans import graph_queries  # noqa: F401  (registers its queries)
+from orefield.plans.registry import CORE
 
 
 def both(spark, edges):
@@ -66,6 +68,25 @@ def test_communities(spark):
     assert set(labels) == set("abcdefxy")
 
 
+def test_division_runs_to_its_stop_rules(spark, tmp_path):
+    two = [(f"{side}{i}", f"{side}{j}") for side in "ab" for i in range(8) for j in range(i)]
+    linked = two + [(f"a{i}", f"b{(i + k) % 8}") for i in range(5) for k in range(2)]  # ten cuts to split
+    rows = [(user, f"{u}-{v}-{k}") for u, v in linked for k in range(5) for user in (u, v)]
+    spark.createDataFrame(rows, "user_id string, business_id string").write.parquet(f"{tmp_path}/user_business.parquet")
+    got = CORE.queries["girvan_newman"](spark, str(tmp_path)).collect()
+    assert {r.node: r.component for r in got} == {r.node: f"{r.node[0]}0" for r in got} and len(got) == 16
+    assert got[0].modularity == round(56 / 66 - 0.5, 4)
+
+
+@pytest.mark.parametrize("edges", [TWO_TRIANGLES, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a")]])
+def test_division_in_a_task_and_over_tables(spark, edges):
+    edges = both(spark, edges)
+    (one, score), (other, other_score) = (graph.girvan_newman(edges, local_edges=n) for n in (100, 0))
+    assert score == other_score and sorted(one.collect()) == sorted(other.collect())
+    empty, score = graph.girvan_newman(edges.limit(0))
+    assert empty.count() == 0 and score == -1.0
+
+
 def test_long_chain_and_isolated_nodes(spark):
     chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)]
     nodes = spark.createDataFrame([(f"n{i:03d}",) for i in range(61)] + [("z",)], "node string")
