@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -68,7 +69,8 @@ def centroids_of(summary: DataFrame) -> DataFrame:
 def kmeans(points: DataFrame, start: list[list[float]], max_rounds: int = 100, tol: float = 1e-4, seed: int = 0) -> tuple[DataFrame, list[tuple[int, list[float]]]]:
     """Lloyd's algorithm from the centroids ``start``: ((point_id, features, cluster), centroids).
 
-    Stops when no centroid moves farther than ``tol``. A cluster that loses all points starts again from the point with the least seeded
+    Stops when no centroid moves farther than ``tol``; ending after ``max_rounds`` without that is warned of, unless ``tol`` is negative,
+    which asks for a fixed number of rounds. A cluster that loses all points starts again from the point with the least seeded
     hash for that round and cluster. Only centroids reach the driver. The assignment returned is that of the final centroids.
     """
     points = cut_lineage(points.select("point_id", "features"))
@@ -86,6 +88,9 @@ def kmeans(points: DataFrame, start: list[list[float]], max_rounds: int = 100, t
         now = new
         if moved <= tol:
             break
+    else:
+        if tol >= 0:
+            warnings.warn(f"K-Means has not converged after {max_rounds} rounds", RuntimeWarning, stacklevel=2)
     return assign(points, now), now
 
 

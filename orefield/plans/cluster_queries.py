@@ -124,7 +124,7 @@ def in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bfr(spark: SparkSession, sf_dir: str) -> cluster.BfrState:
-    return cluster.bfr(in_rounds(spark, sf_dir), K, alpha=ALPHA, max_rounds=5)
+    return cluster.bfr(in_rounds(spark, sf_dir), K, alpha=ALPHA)
 
 
 @CORE.add("bfr_rounds")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orefield.operators import cluster, graph
-from orefield.plans import graph_queries  # noqa: F401  (registers its queries)
+from orefield.plans import cluster_queries, graph_queries  # noqa: F401  (register their queries)
 from orefield.plans.registry import CORE
 
 
@@ -141,6 +141,26 @@ def test_bfr_conserves_points(spark):
     assert not cluster.bfr(points.limit(0), 3).rounds
 
 
+def test_bfr_queries_converge(spark, monkeypatch):
+    kmeans, moves = cluster.kmeans, []
+
+    def watched(points, start, *args):
+        found, centroids = kmeans(points, start, *args)
+        _, further = kmeans(points, [c for _, c in centroids], 1, -1.0)
+        moves.append(max(math.dist(a, b) for (_, a), (_, b) in zip(centroids, further)))
+        return found, centroids
+
+    monkeypatch.setattr(cluster, "kmeans", watched)
+    assert CORE.queries["bfr_rounds"](spark, "/root/testdata/sf0.001").count() == 4
+    assert moves and max(moves) < 1e-3
+
+
+def test_kmeans_warns_when_stopped_early(spark):
+    points = spark.createDataFrame([(i, [float(i * i)]) for i in range(40)], "point_id long, features array<double>")
+    with pytest.warns(RuntimeWarning, match="not converged"):
+        cluster.kmeans(points, [[0.0], [1.0]], max_rounds=1)
+
+
 def test_summary(spark):
     rows = spark.createDataFrame([(1, [1.0, 5.0], 0), (2, [3.0, 5.0], 0), (3, [9.0, 0.0], 1)], "point_id long, features array<double>, cluster int")
     got = {r.cluster: r for r in cluster.centroids_of(cluster.summaries(rows)).collect()}
