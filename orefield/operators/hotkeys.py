@@ -36,6 +36,20 @@ def _bin(v: str, lo: str, hi: str, bins: int) -> Column:
     return F.when(F.col(v).isNull(), -1).when(F.col(hi) <= F.col(lo), 0).otherwise(inside)
 
 
+def _image(v: str) -> Column:
+    """A 64-bit integer that orders doubles, infinities included, as the doubles themselves; both zeros are one."""
+    bits = F.expr(f"CAST(java_method('java.lang.Double', 'doubleToLongBits', {v} + 0.0D) AS BIGINT)")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
+
+
+def _image_bin(bins: int) -> Column:
+    """Bin of the image of ``v`` between the images ``lo_image`` and ``hi_image``, in whole numbers."""
+    wide = lambda c: c.cast("decimal(20,0)")
+    lo, hi = wide(F.col("lo_image")), wide(F.col("hi_image"))
+    up = (wide(_image("v")) - lo).cast("decimal(21,0)") * F.lit(bins).cast("decimal(10,0)")
+    return F.call_function("div", up, (hi - lo).cast("decimal(21,0)") + F.lit(1).cast("decimal(1,0)")).cast("int")
+
+
 def _ranked(histogram: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
     """The bin in which each wanted rank falls. The window is over the bins of one key, a bounded number."""
     from pyspark.sql import Window
@@ -51,9 +65,10 @@ def keyed_quantiles(df: DataFrame, key: str, value: str, qs: list[float], bins:
 
     ``histogram``: that of round 0, if the caller needs it as well. Each further round reads the data once; only the bins that are
     still open take part. Open bins of hot keys are broadcast (at most ``HOT_PARTS * len(qs)`` rows); the others meet their rows in a
-    join on the key, where no key has more than one in ``HOT_PARTS`` of the rows. Bins shrink to the extremes seen in them, so a
-    round divides their width by ``bins`` at least and ``max_rounds`` of 24 is beyond any double. Ties, repeated rows and infinities are
-    ordinary values; NaN counts as null. Keys without a value are left out.
+    join on the key, where no key has more than one in ``HOT_PARTS`` of the rows. These rounds bin the order-preserving 64-bit integer
+    image of the doubles, so each divides the width by ``bins`` whatever the spread, and 8 rounds of 256 bins resolve any rank; a rank still
+    open after ``max_rounds`` raises. Ties, repeated rows and infinities are ordinary values; NaN counts as null. Keys without a value are
+    left out.
     """
     hist = cut_lineage((histogram if histogram is not None else key_histogram(df, key, value, bins)).where("bin >= 0"))
     totals = hist.groupBy("key").agg(F.sum("n").alias("total"))
@@ -67,19 +82,22 @@ def keyed_quantiles(df: DataFrame, key: str, value: str, qs: list[float], bins:
         state = state.where("lo < hi")
         if state.isEmpty():
             break
-        open_bins = state.select("key", "lo", "hi", "hot").distinct()
+        open_bins = state.select("key", "lo", "hi", "hot").distinct().withColumn("lo_image", _image("lo")).withColumn("hi_image", _image("hi"))
         inside = F.col("v").between(F.col("lo"), F.col("hi"))
         hot = rows.join(F.broadcast(open_bins.where("hot")), "key").where(inside)
         cold = rows.join(open_bins.where("NOT hot"), "key").where(inside)
         counted = (
             hot.unionByName(cold)
-            .select("key", "lo", "hi", "v", _bin("v", "lo", "hi", bins).alias("bin"))
+            .select("key", "lo", "hi", "v", _image_bin(bins).alias("bin"))
             .groupBy("key", "lo", "hi", "bin")
             .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
         )
         found = _ranked(counted, state.select("key", "lo", "hi", "q", "rank", "hot"), ["key", "lo", "hi"])
         state = cut_lineage(found.select("key", "q", F.col("a").alias("lo"), F.col("b").alias("hi"), (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"), "hot"))
         done.append(state.where("lo = hi"))
+    else:
+        if not state.where("lo < hi").isEmpty():
+            raise RuntimeError(f"ranks are open after {max_rounds} rounds of {bins} bins")
     return reduce(DataFrame.unionByName, done).select("key", "q", F.col("lo").alias("value"))
 
 

@@ -77,3 +77,13 @@ def test_places(spark):
     df = spark.createDataFrame([(i * 7 % 101,) for i in range(101)] + [(None,)], "x int")
     assert sorted((r.x, r.idx) for r in dense_index(df, "x").collect()) == [(i, i) for i in range(101)]
     assert sorted(r.p for r in with_place(df, ["x"], "p").collect()) == list(range(102))
+
+
+def test_quantiles_of_any_spread(spark):
+    values = {"wide": [s * 2.0**e for s in (-1, 1) for e in range(-1070, 1024, 3)] + [0.0], "endless": [float("-inf"), *map(float, range(-40, 40)), float("inf"), float("inf")], "one": [float("inf")]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double").repartition(3)
+    qs = [0.0, 0.01, 0.3, 0.5, 0.77, 1.0]
+    got = {(r.key, r.q): r.value for r in hotkeys.keyed_quantiles(df, "k", "v", qs).collect()}
+    assert got == {(k, q): sorted(vs)[max(1, math.ceil(q * len(vs) - 1e-9)) - 1] for k, vs in values.items() for q in qs}
+    with pytest.raises(RuntimeError, match="open"):
+        hotkeys.keyed_quantiles(df, "k", "v", qs, bins=4, max_rounds=2)
