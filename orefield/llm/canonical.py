@@ -13,8 +13,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import deque
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -39,6 +41,10 @@ _LOOKALIKE = str.maketrans("013457$@", "oieastsa")
 _SIMILAR = {frozenset(p) for p in ("0o", "1i", "1l", "il", "3e", "5s", "4a", "7t", "uv", "vw", "sz", "ck", "iy", "mn", "ae", "ei", "ou")}
 
 
+#: Additions that are left out: parentheses, a number at the end, what follows a dash or slash, two letters at the end.
+_ADDITIONS = (r"\([^)]*\)?", r"\b\d{4,}(?:-\d+)?\b\s*$", r"\s+[-/]\s+\S.*$", r"(?:\s*,\s*|\s+)[a-z]{2}\.?\s*$")
+
+
 @dataclass(frozen=True)
 class FormRules:
     """What counts as an addition, and what it costs to leave it out."""
@@ -46,6 +52,7 @@ class FormRules:
     abbreviations: dict[str, str] = field(default_factory=lambda: dict(ABBREVIATIONS))
     prefixes: tuple[str, ...] = PREFIXES
     step: float = 0.05
+    swaps: int = 2
 
 
 def plain(text: str) -> str:
@@ -60,7 +67,11 @@ def squeeze(text: str) -> str:
 
 
 def forms(text: str | None, rules: FormRules = FormRules()) -> dict[str, float]:
-    """Comparable forms of a typed value with their costs."""
+    """Comparable forms of a typed value with their costs.
+
+    Shortening and writing out abbreviations go on until nothing new comes, however many additions there are. The parts at a comma are
+    swapped at most ``rules.swaps`` times on the way to a form, since arrangements of parts without a limit grow exponentially.
+    """
     if text is None:
         return {}
     start = plain(text)
@@ -70,30 +81,30 @@ def forms(text: str | None, rules: FormRules = FormRules()) -> dict[str, float]:
             todo.setdefault(plain(text.encode(wrong).decode("utf-8")), rules.step)
         except UnicodeError:
             pass
-    queue = list(todo)
-    while queue and len(todo) < 64:
-        now = queue.pop(0)
+    queue = deque((form, 0) for form in todo)
+    fewest = dict.fromkeys(todo, 0)  # swaps on the way to each form
+    while queue:
+        now, swaps = queue.popleft()
         cost = todo[now] + rules.step
-        steps = set()
-        steps.add(re.sub(r"\([^)]*\)?", " ", now))
-        steps.add(re.sub(r"\b\d{4,}(?:-\d+)?\b\s*$", " ", now))
-        steps.add(re.sub(r"\s+[-/]\s+\S.*$", " ", now))
-        steps.add(re.sub(r"(?:\s*,\s*|\s+)[a-z]{2}\.?\s*$", " ", now))
+        steps = {(re.sub(pattern, " ", now), swaps) for pattern in _ADDITIONS}
         if "," in now:
             head, _, tail = now.partition(",")
-            steps |= {head, f"{tail} {head}" if tail.strip() else head}
+            steps.add((head, swaps))
+            if tail.strip() and swaps < rules.swaps:
+                steps.add((f"{tail} {head}", swaps + 1))
         for prefix in rules.prefixes:
             if now.startswith(prefix + " "):
-                steps.add(now[len(prefix) + 1 :])
+                steps.add((now[len(prefix) + 1 :], swaps))
         words = re.split(r"[\s./\-]+", now)
         written = [rules.abbreviations.get(w.strip(",'"), w) for w in words]
         if written != words:
-            steps.add(" ".join(written))
-        for step in steps:
+            steps.add((" ".join(written), swaps))
+        for step, swapped in steps:
             step = re.sub(r"\s+", " ", step).strip(" ,./-'")
-            if step and step not in todo:
-                todo[step] = cost
-                queue.append(step)
+            if step and swapped < fewest.get(step, math.inf):
+                todo[step] = min(cost, todo.get(step, math.inf))
+                fewest[step] = swapped
+                queue.append((step, swapped))
     out: dict[str, float] = {}
     for form, cost in todo.items():
         bare = squeeze(form)
@@ -101,7 +112,7 @@ def forms(text: str | None, rules: FormRules = FormRules()) -> dict[str, float]:
         if any(c.isdigit() for c in bare) and any(c.isalpha() for c in bare):
             readings.append(bare.translate(_LOOKALIKE))
         for reading in readings:
-            if reading and cost < out.get(reading, 9.0):
+            if reading and cost < out.get(reading, math.inf):
                 out[reading] = cost
     return out
 

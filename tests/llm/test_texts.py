@@ -60,6 +60,13 @@ def test_matching(spark):
     assert forms(None) == {} and forms(" ,") == {}
 
 
+def test_many_additions_at_once():
+    additions = "near the old city of Orlo, Greater Saint - x, ab cd ef gh ij kl mn, op, qr, st 12345"
+    codes = "City of the old central St. Orlo, qa, us, na, eu, wd, xx, yy, zz, ab, cd, ef, gh"
+    assert "saintorlo" in forms(codes) and "orlo" in forms(additions)
+    assert len(forms(", ".join(["ab", "cd"] * 30))) < 20_000
+
+
 def brute_best_fit(sizes, capacity):
     gaps = []
     for s in sorted(sizes, reverse=True):
