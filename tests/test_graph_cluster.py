@@ -151,7 +151,7 @@ def test_bfr_queries_converge(spark, monkeypatch):
         return found, centroids
 
     monkeypatch.setattr(cluster, "kmeans", watched)
-    assert CORE.queries["bfr_rounds"](spark, "/root/testdata/sf0.001").count() == 4
+    assert CORE.queries["bfr_rounds"](spark, "/root/testdata/sf0.1").count() == 4
     assert moves and max(moves) < 1e-3
 
 
