@@ -18,8 +18,8 @@ from orefield.streaming.pipelines import run_to_end, stream_fm, stream_reservoir
 
 # --- frequent itemsets -------------------------------------------------------------------------------------------------------
 
-#: An itemset is frequent in at least this share of the baskets; at most LEVELS items are looked for in SQL.
-SHARE, MIN_BASKET, LEVELS = 0.025, 3, 9
+#: An itemset is frequent in at least this share of the baskets.
+SHARE, MIN_BASKET, PARTS = 0.025, 3, 4
 _PAIRS = "p AS (SELECT DISTINCT user_id, business_id FROM user_business WHERE user_id <> 'user_id' AND business_id IS NOT NULL)"
 
 
@@ -51,21 +51,23 @@ def baskets_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(itemsets.baskets(pairs(spark, sf_dir), "user_id", "business_id", MIN_BASKET))
 
 
-def _itemset_sql() -> str:
-    steps = [
-        _PAIRS,
-        "b AS (SELECT business_id AS k, user_id AS i FROM p)",
-        f"s AS (SELECT ceil({SHARE} * count(DISTINCT k) - 1e-9) AS support FROM b)",
-        "f1 AS (SELECT [i] AS items, count(*) AS n FROM b GROUP BY i HAVING count(*) >= (SELECT support FROM s))",
-        "r AS (SELECT b.k, b.i FROM b JOIN f1 ON f1.items[1] = b.i)",
-        "h1 AS (SELECT k, [i] AS items, i AS last FROM r)",
-    ]
-    for n in range(2, LEVELS + 1):
-        steps.append(f"c{n} AS (SELECT h.k, list_append(h.items, r.i) AS items, r.i AS last FROM h{n - 1} h JOIN r ON r.k = h.k AND r.i > h.last)")
-        steps.append(f"f{n} AS (SELECT items, count(*) AS n FROM c{n} GROUP BY 1 HAVING count(*) >= (SELECT support FROM s))")
-        steps.append(f"h{n} AS (SELECT c.k, c.items, c.last FROM c{n} c JOIN f{n} f ON c.items = f.items)")
-    union = " UNION ALL ".join(f"SELECT items, n FROM f{n}" for n in range(1, LEVELS + 1))
-    return f"WITH {', '.join(steps)} SELECT array_to_string(items, ',') AS items, CAST(len(items) AS INTEGER) AS size, n FROM ({union})"
+def _itemset_sql(part: str = "0", parts: str = "1") -> str:
+    """Itemsets with their counts, grown item by item; per part of the baskets, at the threshold of a part."""
+    return f"""
+    WITH RECURSIVE {_PAIRS},
+    b AS (SELECT business_id AS k, user_id AS i FROM p),
+    s AS (SELECT ceil({SHARE} * count(DISTINCT k) - 1e-9) AS support FROM b),
+    t AS (SELECT ceil(support / {parts}) AS least FROM s),
+    f AS (SELECT i FROM b GROUP BY i HAVING count(*) >= (SELECT support FROM s)),
+    q AS (SELECT k, i, {part} AS part FROM b SEMI JOIN f USING (i)),
+    h AS (
+      SELECT part, k, [i] AS items, i AS last FROM q QUALIFY count(*) OVER (PARTITION BY part, i) >= (SELECT least FROM t)
+      UNION ALL
+      SELECT part, k, items, last FROM (
+        SELECT h.part, h.k, list_append(h.items, q.i) AS items, q.i AS last, count(*) OVER (PARTITION BY h.part, h.items, q.i) AS n
+        FROM h JOIN q ON q.k = h.k AND q.i > h.last) WHERE n >= (SELECT least FROM t))
+    SELECT array_to_string(items, ',') AS items, CAST(len(items) AS INTEGER) AS size, count(*) AS n FROM h GROUP BY part, h.items
+    """
 
 
 _ITEMSETS = _itemset_sql()
@@ -88,7 +90,7 @@ def freq_itemsets_levelwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.add("freq_itemsets_son", _ITEMSETS)
 def freq_itemsets_son(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(itemsets.son(*_rows_and_support(spark, sf_dir), partitions=4))
+    return _shown(itemsets.son(*_rows_and_support(spark, sf_dir), partitions=PARTS))
 
 
 @CORE.add("freq_itemsets_fpgrowth", _ITEMSETS)
@@ -96,10 +98,14 @@ def freq_itemsets_fpgrowth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(itemsets.fp_growth(*_rows_and_support(spark, sf_dir)))
 
 
-@CORE.add("son_candidates")
+_PARTS = f"least({PARTS}, greatest(1, floor(support / {itemsets.LEAST_LOCAL})))"
+_PART = f"CAST('0x' || substr(md5(concat('0-', k)), 1, 8) AS BIGINT) % CAST((SELECT {_PARTS} FROM s) AS BIGINT)"
+
+
+@CORE.add("son_candidates", f"SELECT DISTINCT items, size FROM ({_itemset_sql(_PART, _PARTS)})")
 def son_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pass 1 only; depends on how baskets are spread."""
-    found = itemsets.son_candidates(*_rows_and_support(spark, sf_dir), partitions=4)
+    """Pass 1 only: what is frequent in a part."""
+    found = itemsets.son_candidates(*_rows_and_support(spark, sf_dir), partitions=PARTS)
     return found.select(F.array_join("items", ",").alias("items"), F.size("items").alias("size"))
 
 
