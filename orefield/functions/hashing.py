@@ -1,7 +1,7 @@
 """Exact big-integer hashing with 64-bit arithmetic, and bit helpers.
 
 A string stands for the big-endian integer X of its UTF-8 bytes. Since ``(a*X + b) % m = (a * (X % m) + b) % m``, and X % m is a fold over
-the bytes, no big integer is needed; for m below 2**31 nothing overflows.
+groups of four bytes, no big integer is needed; for m below 2**31 nothing overflows.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ def bytes_mod(text: Column, m: int) -> Column:
     """The integer of the UTF-8 bytes of ``text``, modulo ``m``; 0 for the empty string, null for null."""
     if not 1 < m < _M31:
         raise ValueError("m must be in 2..2**31 - 1")
-    hexed = F.hex(F.encode(text, "UTF-8"))
-    size = F.octet_length(text)
-    places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    step = lambda acc, i: F.pmod(acc * 256 + F.conv(F.substring(hexed, i * 2 - 1, F.lit(2)), 16, 10).cast("long"), F.lit(m))
+    groups = F.ceil(F.octet_length(text) / 4).cast("int")
+    hexed = F.lpad(F.hex(F.encode(text, "UTF-8")), groups * 8, F.lit("0"))  # zeros in front leave the integer as it is
+    places = F.when(groups > 0, F.sequence(F.lit(1), groups)).otherwise(F.array().cast("array<int>"))
+    step = lambda acc, i: F.pmod(acc * (1 << 32) + F.conv(F.substring(hexed, i * 8 - 7, F.lit(8)), 16, 10).cast("long"), F.lit(m))
     return F.when(text.isNotNull(), F.aggregate(places, F.lit(0).cast("long"), step))
 
 

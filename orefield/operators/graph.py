@@ -6,11 +6,13 @@ Edges are (src, dst) rows in both directions. Loops run on the driver over writt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orefield.operators.meeting import meet, rare_part, shared_counts, sized_tokens
 from orefield.session import cut_lineage
 
 
@@ -18,19 +20,15 @@ def cooccurrence_edges(pairs: DataFrame, node: str, item: str, at_least: int) ->
     """Both directions of each edge between nodes that share ``at_least`` items: (src, dst).
 
     Nodes meet on shared items only. Of n items of a node, only its ``n - at_least + 1`` rarest are used to find partners, since one
-    of those must be shared; frequent items, which would pair everybody with everybody, mostly drop out. Then shared items are counted.
+    of those must be shared; frequent items, which would pair everybody with everybody, mostly drop out, and those left are split.
+    Then shared items are counted.
     """
-    rows = cut_lineage(pairs.select(F.col(node).alias("node"), F.col(item).alias("item")).where("node IS NOT NULL AND item IS NOT NULL").distinct())
-    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= at_least)
-    spread = rows.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    sized = rows.join(sizes, "node").join(spread, "item", "left")
-    place = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(0)), "item"))
-    rare = sized.withColumn("place", place).where((F.col("place") <= F.col("k") - at_least + 1) & F.col("df").isNotNull()).select("node", "item")
-    left = rare.select(F.col("node").alias("u"), "item")
-    right = rare.select(F.col("node").alias("v"), "item")
-    met = left.join(right, "item").where("u < v").select("u", "v").distinct()
-    shared = met.join(rows.select(F.col("node").alias("u"), "item"), "u").join(rows.select(F.col("node").alias("v"), "item"), ["v", "item"]).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
-    return both_ways(shared.where(F.col("n") >= at_least).select("u", "v"))
+    rows = cut_lineage(pairs.select(F.col(node).alias("record"), F.col(item).alias("token")).where("record IS NOT NULL AND token IS NOT NULL").distinct())
+    sizes = rows.groupBy("record").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
+    tokens = cut_lineage(sized_tokens(rows, sizes))
+    met = meet(rare_part(tokens, F.lit(max(1, at_least))), ["token"])
+    pairs_ = met.select(F.col("a.record").alias("a"), F.col("b.record").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b")).where("a < b").distinct()
+    return both_ways(shared_counts(pairs_, tokens).where(F.col("shared") >= at_least).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -58,34 +56,46 @@ def communities(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.sort_array(F.collect_list("node")).alias("members")).select("members")
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
-    """(node, component): the least node that can be reached. Labels also jump along labels, so long chains take few rounds."""
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, component): the least node that can be reached. Labels also jump along labels, so long chains take few rounds.
+
+    Runs until no label changes; each round lowers a label, so it ends.
+    """
     edges = cut_lineage(edges)
     start = (nodes or vertices(edges)).select("node").distinct()
     labels = cut_lineage(start.withColumn("component", F.col("node")))
-    for _ in range(max_rounds):
+    moved = True
+    while moved:
         heard = edges.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("heard"))
         nearer = labels.join(heard, "node", "left").select("node", F.least("component", "heard").alias("component"))
         target = nearer.select(F.col("node").alias("component"), F.col("component").alias("jump"))
         new = cut_lineage(nearer.join(target, "component", "left").select("node", F.least("component", "jump").alias("component")))
         moved = not new.join(labels, ["node", "component"], "left_anti").isEmpty()
         labels = new
-        if not moved:
-            break
     return labels
 
 
-def shortest_paths(edges: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """(root, node, dist, sigma): distances and numbers of shortest paths from every node, level by level."""
-    seen = cut_lineage(vertices(edges).select(F.col("node").alias("root"), "node", F.lit(0).alias("dist"), F.lit(1.0).alias("sigma")))
-    frontier = seen
-    for depth in range(1, max_depth + 1):
+#: Written levels that a plan unites at most; beyond, they are written as one.
+LEVELS = 16
+
+
+def _united(parts: list[DataFrame]) -> list[DataFrame]:
+    """The parts, as one written table if there are many."""
+    return [cut_lineage(reduce(DataFrame.unionByName, parts))] if len(parts) > LEVELS else parts
+
+
+def shortest_paths(edges: DataFrame) -> DataFrame:
+    """(root, node, dist, sigma): distances and numbers of shortest paths from every node, level by level until nothing new is reached."""
+    edges = cut_lineage(edges)
+    frontier = cut_lineage(vertices(edges).select(F.col("node").alias("root"), "node", F.lit(0).alias("dist"), F.lit(1.0).alias("sigma")))
+    seen, depth = [frontier], 0
+    while not frontier.isEmpty():
+        depth += 1
+        known = reduce(DataFrame.unionByName, seen)
         reached = frontier.join(edges, frontier["node"] == edges["src"]).groupBy("root", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
-        frontier = cut_lineage(reached.join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("dist"), "sigma"))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
+        frontier = cut_lineage(reached.join(known, ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("dist"), "sigma"))
+        seen = _united([*seen, frontier])
+    return reduce(DataFrame.unionByName, seen)
 
 
 def edge_betweenness(edges: DataFrame) -> DataFrame:
@@ -109,14 +119,11 @@ def edge_betweenness(edges: DataFrame) -> DataFrame:
         else:
             level = level.withColumn("credit", F.lit(0.0))
         flow = cut_lineage(level.select("root", "src", "dst", (F.col("part") * (1 + F.coalesce("credit", F.lit(0.0)))).alias("flow")))
-        flows.append(flow)
+        flows = _united([*flows, flow])
         credit = flow.groupBy(F.col("root").alias("croot"), F.col("src").alias("node")).agg(F.sum("flow").alias("credit"))
     if not flows:
         return edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(0.0).alias("betweenness")).limit(0)
-    every = flows[0]
-    for flow in flows[1:]:
-        every = every.unionByName(flow)
-    return every.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.round(F.sum("flow") / 2, 9).alias("betweenness"))
+    return reduce(DataFrame.unionByName, flows).groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.round(F.sum("flow") / 2, 9).alias("betweenness"))
 
 
 def modularity(edges: DataFrame, membership: DataFrame) -> float:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from orefield.functions.hashing import linear_hash
 from orefield.functions.vectors import jaccard
+from orefield.operators.meeting import meet, rare_part, shared_counts, sized_tokens
+from orefield.session import cut_lineage
 
 
 def set_rows(df: DataFrame, entity: str, element: str) -> DataFrame:
@@ -32,33 +34,38 @@ def bands(sigs: DataFrame, rows: int) -> DataFrame:
 
 
 def candidates(banded: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that share a band."""
-    left = banded.select("band", "key", F.col("entity").alias("a"))
-    right = banded.select("band", "key", F.col("entity").alias("b"))
-    return left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct()
+    """Distinct pairs (a, b), a < b, that share a band; a band that many entities share is split over several tasks."""
+    met = meet(banded.select("band", "key", "entity"), ["band", "key"])
+    return met.select(F.col("a.entity").alias("a"), F.col("b.entity").alias("b")).where("a < b").distinct()
+
+
+def _sized(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(record, token) rows, and the size of each record."""
+    rows = sets.select(F.col("entity").alias("record"), F.col("element").alias("token"))
+    return rows, rows.groupBy("record").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _above(counted: DataFrame, threshold: float) -> DataFrame:
+    sim = jaccard(F.col("shared"), F.col("n_a"), F.col("n_b"))
+    return counted.where(sim >= threshold).select("a", "b", F.round(sim, 6).alias("sim"))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Exact Jaccard index of the pairs, at least ``threshold``: (a, b, sim)."""
-    sizes = sets.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    left = sets.select(F.col("entity").alias("a"), "element")
-    right = sets.select(F.col("entity").alias("b"), "element")
-    shared = pairs.join(left, "a").join(right, ["b", "element"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("o"))
-    sized = shared.join(sizes.select(F.col("entity").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("entity").alias("b"), F.col("n").alias("nb")), "b")
-    sim = jaccard(F.col("o"), F.col("na"), F.col("nb"))
-    return sized.where(sim >= threshold).select("a", "b", F.round(sim, 6).alias("sim"))
+    """Exact Jaccard index of the pairs, at least ``threshold`` (above 0): (a, b, sim)."""
+    rows, sizes = _sized(sets)
+    sized = pairs.join(sizes.select(F.col("record").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("record").alias("b"), F.col("n").alias("n_b")), "b")
+    return _above(shared_counts(sized.select("a", "b", "n_a", "n_b"), rows.join(sizes, "record")), threshold)
 
 
 def all_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """Every pair with a Jaccard index of at least ``threshold``: the truth that LSH approaches.
+    """Every pair with a Jaccard index of at least ``threshold`` (above 0): the truth that LSH approaches.
 
-    Sets meet on shared elements only, never all with all; sets whose sizes rule the threshold out do not meet.
+    Sets meet on the shared elements of their rarest part only, never all with all, and hot elements are split; sets whose sizes rule the
+    threshold out do not meet.
     """
-    sizes = sets.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    sized = sets.join(sizes, "entity")
-    left = sized.select("element", F.col("entity").alias("a"), F.col("n").alias("na"))
-    right = sized.select("element", F.col("entity").alias("b"), F.col("n").alias("nb"))
-    fits = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9
-    shared = left.join(right, "element").where((F.col("a") < F.col("b")) & fits).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("o"))
-    sim = jaccard(F.col("o"), F.col("na"), F.col("nb"))
-    return shared.where(sim >= threshold).select("a", "b", F.round(sim, 6).alias("sim"))
+    rows, sizes = _sized(cut_lineage(sets))
+    tokens = cut_lineage(sized_tokens(rows, sizes))
+    met = meet(rare_part(tokens, F.greatest(F.lit(1), F.ceil(F.col("n") * threshold - 1e-9))), ["token"])
+    sized = met.select(F.col("a.record").alias("a"), F.col("b.record").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
+    fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9
+    return _above(shared_counts(sized.where((F.col("a") < F.col("b")) & fits).distinct(), tokens), threshold)

@@ -33,12 +33,24 @@ _ENDS = re.compile(r"\s*(?:[" + re.escape(DELIMITERS + "]") + r"]|/(?=\s|$)|$)")
 _HEX = re.compile(r"[0-9A-Fa-f]{4}")
 
 
-def _quoted(text: str, at: int, close: str) -> tuple[str, int] | None:
-    """The quoted value whose opening quote stands before ``at`` and the place after its closing quote; None if unclosed."""
+_STOPS = {close: re.compile("[" + re.escape("\\" + close) + "]") for close in QUOTES.values()}
+
+
+def _quoted(text: str, at: int, close: str, dead: set[int]) -> tuple[str, int] | None:
+    """The quoted value whose opening quote stands before ``at`` and the place after its closing quote; None if unclosed.
+
+    ``dead``: places of ``close`` and backslashes from which an earlier search in this text found no end. A search that comes to one ends
+    there, so all searches together pass a text once.
+    """
     parts: list[str] = []
+    passed: list[int] = []
     n, i = len(text), at
-    while i < n:
-        c = text[i]
+    while m := _STOPS[close].search(text, i):
+        parts.append(text[i : m.start()])
+        i, c = m.start(), m.group()
+        if i in dead:
+            break
+        passed.append(i)
         if c == "\\" and i + 1 < n:
             follow = text[i + 1]
             if follow == "u" and (m := _HEX.match(text, i + 2)):
@@ -59,6 +71,7 @@ def _quoted(text: str, at: int, close: str) -> tuple[str, int] | None:
         else:
             parts.append(c)
             i += 1
+    dead.update(passed)
     return None
 
 
@@ -69,6 +82,8 @@ def split_field(text: str | None) -> list[str]:
     values: list[str] = []
     buffer: list[str] = []
     n, i, lists, parens = len(text), 0, 0, 0
+    last_list, last_paren = text.rfind("]"), text.rfind(")")
+    dead: dict[str, set[int]] = {}
 
     def fresh() -> bool:
         return not any(map(str.strip, buffer))
@@ -90,17 +105,17 @@ def split_field(text: str | None) -> list[str]:
         if c == "\\":
             buffer.append(text[i : i + 1] or c)
             i += 1
-        elif c in QUOTES and fresh() and (found := _quoted(text, i, QUOTES[c])) is not None:
+        elif c in QUOTES and fresh() and (found := _quoted(text, i, QUOTES[c], dead.setdefault(QUOTES[c], set()))) is not None:
             buffer.clear()
             buffer.append(found[0])
             i = found[1]
-        elif c == "[" and fresh() and "]" in text[i:]:
+        elif c == "[" and fresh() and last_list >= i:
             buffer.clear()
             lists += 1
         elif c == "]" and lists and _ENDS.match(text, i):
             flush()
             lists -= 1
-        elif c == "(" and ")" in text[i:]:
+        elif c == "(" and last_paren >= i:
             parens += 1
             buffer.append(c)
         elif c == ")" and parens:

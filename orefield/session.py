@@ -34,13 +34,16 @@ def get_session(app: str = "orefield", master: str = "local[*]", shuffle_partiti
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) is a local folder made.
+    Where that setting is absent, a local folder is made on a local master (tests, a laptop); a cluster raises, since the files of its
+    machines would not be seen by the others.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="orefield-checkpoint-"))
     return sc.getCheckpointDir()
 

@@ -49,7 +49,7 @@ def test_profile_and_heavy_keys(spark):
         assert p.n_rows == len(rs) and p.n_members == len({r[2] for r in rs if r[2]}) and p.latest == max(r[3] for r in rs)
         assert (p.mean_value is None and not vs) or math.isclose(p.mean_value, sum(vs) / len(vs))
     total = sum(map(len, by.values()))
-    heavy = {r.key for r in hotkeys.heavy_keys(df, "k", "v", 0.01).collect()}
+    heavy = {r.key for r in hotkeys.heavy_keys(df, "k", 0.01).collect()}
     assert heavy == {k for k, rs in by.items() if len(rs) >= 0.01 * total}
 
 
@@ -57,7 +57,7 @@ def test_empty_and_constant(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert hotkeys.keyed_quantiles(empty, "k", "v", [0.5]).count() == 0
     assert hotkeys.keyed_profile(empty, "k", "v", "u", "d").count() == 0
-    assert hotkeys.heavy_keys(empty, "k", "v", 0.1).count() == 0
+    assert hotkeys.heavy_keys(empty, "k", 0.1).count() == 0
     same = spark.createDataFrame([("a", 2.0, None, None)] * 5 + [("b", None, None, None)], SCHEMA)
     assert [(r.key, r.value) for r in hotkeys.keyed_quantiles(same, "k", "v", [0.5]).collect()] == [("a", 2.0)]
     huge = spark.createDataFrame([("a", -1.7e308), ("a", 1.7e308), ("a", 0.0)], "k string, v double")
