@@ -73,22 +73,21 @@ def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("cluster", "dim", "n", *[F.round(F.col(f"z.{a}"), 6).alias(b) for a, b in (("sum", "s"), ("sumsq", "q"), ("centroid", "centroid"), ("deviation", "deviation"))])
 
 
-_DS = f"{_POINTS}, {_SUMMARY.format(where='WHERE id % 5 = 0')}, g AS (SELECT c, list(m ORDER BY i) AS m, list(d ORDER BY i) AS d, max(n) AS n, list(s ORDER BY i) AS s, list(q ORDER BY i) AS q FROM u GROUP BY 1)"
+_DS = f"{_POINTS}, {_SUMMARY.format(where='')}, g AS (SELECT c, list(m ORDER BY i) AS m, list(d ORDER BY i) AS d, max(n) AS n, list(s ORDER BY i) AS s, list(q ORDER BY i) AS q FROM u GROUP BY 1)"
 _LIMIT = ALPHA * math.sqrt(DIM)
 
 
 def _ds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict[int, cluster.Summary]]:
     every = cut_lineage(points(spark, sf_dir))
-    known = every.where("point_id % 5 = 0").select("point_id", "features", F.col("label").alias("cluster"))
+    known = every.select("point_id", "features", F.col("label").alias("cluster"))
     return every, known, cluster._collect_summaries(known)
 
 
-@CORE.add("bfr_assign_ds", f"WITH {_DS}, z AS (SELECT p.id, min(g.c) AS c FROM p, g WHERE id % 5 <> 0 AND {_NORM.format(a='p.f', b='g.m', s='g.d')} < {_LIMIT} GROUP BY 1) SELECT p.id AS point_id, coalesce(z.c, -1) AS cluster FROM p LEFT JOIN z ON p.id = z.id WHERE p.id % 5 <> 0")
+@CORE.add("bfr_assign_ds", f"WITH {_DS}, z AS (SELECT p.id, min(g.c) AS c FROM p, g WHERE {_NORM.format(a='p.f', b='g.m', s='g.d')} < {_LIMIT} GROUP BY 1) SELECT p.id AS point_id, coalesce(z.c, -1) AS cluster FROM p LEFT JOIN z ON p.id = z.id")
 def bfr_assign_ds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each later point with the first cluster within reach, -1 if none."""
+    """Each point with the first cluster within reach, -1 if none."""
     every, _, ds = _ds(spark, sf_dir)
-    rest = every.where("point_id % 5 <> 0")
-    return rest.select("point_id", F.coalesce(cluster.first_within(rest, cluster._stats(ds), _LIMIT), F.lit(-1)).alias("cluster"))
+    return every.select("point_id", F.coalesce(cluster.first_within(every, cluster._stats(ds), _LIMIT), F.lit(-1)).alias("cluster"))
 
 
 @CORE.add("normalised_distances", f"WITH {_DS} SELECT p.id AS point_id, g.c AS cluster, round({_NORM.format(a='p.f', b='g.m', s='g.d')}, 6) AS d FROM p JOIN g ON p.label = g.c")
