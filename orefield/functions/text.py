@@ -14,6 +14,11 @@ def year_of(date: Column) -> Column:
     return F.substring(date, 1, 4)
 
 
+def now_text(pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """The time at which the query began, formatted; the end of a window serves better where results must be the same again."""
+    return F.date_format(F.current_timestamp(), pattern)
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(text, "^\\s+|\\s+$", "")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,10 +67,30 @@ def top_by_value(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(value), F.asc(key)).limit(n)
 
 
+def partition_by(df: DataFrame, key: str, partitions: int, function: Callable[[str], int]) -> DataFrame:
+    """``df`` with each row in the partition ``function(key) % partitions``, for a partition function of the caller's.
+
+    The function runs once per distinct key of an Arrow batch; a null key goes to partition 0.
+    """
+
+    @F.pandas_udf("int")
+    def number(keys: pd.Series) -> pd.Series:
+        codes, names = pd.factorize(keys)
+        numbers = np.array([function(n) % partitions for n in names] + [0], dtype=np.int32)  # the last one for code -1
+        return pd.Series(numbers[codes])
+
+    return df.withColumn("__partition", number(F.col(key))).repartitionById(partitions, F.col("__partition")).drop("__partition")
+
+
 def partition_sizes(df: DataFrame, partitions: int | None = None, key: str | None = None) -> DataFrame:
     """Rows in each partition, empty ones included: (partition, n); after hashing on ``key`` into ``partitions`` if given."""
     spread = df if partitions is None else (df.repartition(partitions, key) if key else df.repartition(partitions))
-    total = spread.rdd.getNumPartitions()
+    return layout(spread)
+
+
+def layout(spread: DataFrame) -> DataFrame:
+    """Rows in each partition of ``spread`` as it is laid out, empty ones included: (partition, n)."""
+    df, total = spread, spread.rdd.getNumPartitions()
     counts = spread.groupBy(F.spark_partition_id().alias("partition")).agg(F.count(F.lit(1)).alias("n"))
     every = df.sparkSession.range(total).select(F.col("id").cast("int").alias("partition"))
     return every.join(counts, "partition", "left").select("partition", F.coalesce("n", F.lit(0)).alias("n"))

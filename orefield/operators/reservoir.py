@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orefield.functions.hashing import seeded_number
+from orefield.operators.ranking import with_place
 
 
 def slot_of(n: Column, size: int, seed: int) -> Column:
@@ -41,6 +42,26 @@ def reservoir_tags(sample: DataFrame, item: str) -> DataFrame:
     return sample.select(F.explode(item).alias("tag")).where("tag IS NOT NULL")
 
 
+def reservoir_reports(events: DataFrame, n: str, item: str, size: int, seed: int, ranks: int = 3) -> DataFrame:
+    """The tags of highest frequency after *every* event: (n_from, n_to, tag, n, rank).
+
+    The reservoir only changes at events that are taken, ``size * (1 + ln(events / size))`` of them; the report of a row holds after each
+    of the events ``n_from .. n_to`` (null: until now), also those whose event was not taken. A taken event is in the reservoir from its
+    own change until its slot is taken again, and counts in the reports between.
+    """
+    taken = events.select(F.col(n).cast("long").alias("n"), F.col(item).alias("item")).withColumn("slot", slot_of(F.col("n"), size, seed)).where("slot IS NOT NULL")
+    taken = with_place(taken, ["n"], "place")
+    starts = taken.select(F.col("place").alias("at"), F.col("n").alias("n_from"))
+    follows = Window.partitionBy("slot").orderBy("n")  # a few rows per slot
+    total = taken.agg(F.max("place").alias("last"))
+    lived = taken.withColumn("until", F.lead("place").over(follows)).crossJoin(F.broadcast(total))
+    shown = lived.select("item", F.explode(F.sequence("place", F.coalesce(F.col("until") - 1, F.col("last")))).alias("at")).select("at", F.explode("item").alias("tag"))
+    counts = shown.where("tag IS NOT NULL").groupBy("at", "tag").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counts.withColumn("rank", F.dense_rank().over(Window.partitionBy("at").orderBy(F.desc("n")))).where(F.col("rank") <= ranks)
+    ends = starts.select((F.col("at") - 1).alias("at"), (F.col("n_from") - 1).alias("n_to"))
+    return ranked.join(starts, "at").join(ends, "at", "left").select("n_from", "n_to", "tag", "n", "rank")
+
+
 def sample_fraction(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
     """The rows whose seeded hash falls below ``fraction``: the same in any engine and for any partitioning, without a shuffle."""
     return df.where(seeded_number(seed, F.col(key)) < F.lit(int(fraction * (1 << 32))))

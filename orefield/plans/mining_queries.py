@@ -298,6 +298,20 @@ def reservoir_top3_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reservoir.top_frequencies(reservoir.reservoir_tags(sample, "item"), "tag")
 
 
+@CORE.add(
+    "reservoir_reports",
+    f"""WITH {_RESERVOIR.split("r AS (")[0].rstrip().rstrip(",")},
+    w AS (SELECT n, tags, lead(n) OVER (PARTITION BY slot ORDER BY n) AS gone FROM v WHERE slot IS NOT NULL),
+    c AS (SELECT n AS n_from, lead(n) OVER (ORDER BY n) - 1 AS n_to FROM w),
+    t AS (SELECT c.n_from, c.n_to, unnest(w.tags) AS tag FROM c JOIN w ON w.n <= c.n_from AND (w.gone IS NULL OR w.gone > c.n_from)),
+    k AS (SELECT n_from, n_to, tag, count(*) AS n FROM t GROUP BY 1, 2, 3)
+    SELECT n_from, n_to, tag, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, dense_rank() OVER (PARTITION BY n_from ORDER BY n DESC) AS rank FROM k) WHERE rank <= 3""",
+)
+def reservoir_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report after every accepted event, as ranges of events with the same report."""
+    return reservoir.reservoir_reports(accepted(spark, sf_dir), "n", "tags", RESERVOIR, SEED)
+
+
 @CORE.add("sample_fraction", f"SELECT event_id FROM events WHERE {_HEX.format(parts=f"'{SEED}-', event_id")} < {int(0.2 * (1 << 32))}")
 def sample_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reservoir.sample_fraction(table(spark, sf_dir, "events"), "event_id", 0.2, SEED).select("event_id")

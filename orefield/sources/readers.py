@@ -59,6 +59,11 @@ def in_box(lon: str, lat: str, west: float = -180.0, south: float = -90.0, east:
     return F.col(lon).between(west, east) & F.col(lat).between(south, north)
 
 
+def boxed_stream(spark: SparkSession, folder: str, schema: str = TWEET, **box: float) -> DataFrame:
+    """Events pushed with coordinates, landed as JSON lines and read as a replayable stream: those inside the box, in order of arrival."""
+    return json_file_stream(spark, folder, schema).where(in_box("coordinates.lon", "coordinates.lat", **box))
+
+
 def socket_lines(spark: SparkSession, host: str, port: int) -> DataFrame:
     """Lines from a TCP socket; for development only, since a socket cannot be read again after a failure."""
     return spark.readStream.format("socket").option("host", host).option("port", port).load()

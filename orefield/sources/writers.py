@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,17 +38,20 @@ def itemset_report(candidates: DataFrame, frequent: DataFrame, path: str) -> Non
         parts.append(spark.createDataFrame([(place, 0, title)], "part int, k int, value string"))
         parts.append(itemset_lines(sets).select(F.lit(place).alias("part"), "k", "value"))
     text = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    text.orderBy("part", "k").coalesce(1).select("value").write.mode("overwrite").text(path)
+    text_file(text, path)
 
 
 def community_lines(communities: DataFrame) -> DataFrame:
-    """One line per community: quoted members, sorted; smaller communities first. Column ``members`` holds sorted arrays."""
-    return communities.orderBy(F.size("members"), F.col("members")[0]).select(F.concat(F.lit("'"), F.array_join("members", "', '"), F.lit("'")).alias("value"))
+    """One line per community: quoted members, sorted; smaller communities first. Column ``members`` holds sorted arrays.
+
+    Comes with the columns to order by, as ``text_file`` wants them.
+    """
+    return communities.select(F.size("members").alias("n"), F.col("members")[0].alias("first"), F.concat(F.lit("'"), F.array_join("members", "', '"), F.lit("'")).alias("value"))
 
 
 def edge_lines(edges: DataFrame) -> DataFrame:
-    """``('u', 'v'), value`` per edge, by falling value."""
-    return edges.orderBy(F.col("betweenness").desc(), "u", "v").select(F.format_string("('%s', '%s'), %s", "u", "v", F.col("betweenness").cast("string")).alias("value"))
+    """``('u', 'v'), value`` per edge, by falling value; with the columns to order by."""
+    return edges.select((-F.col("betweenness")).alias("falling"), "u", "v", F.format_string("('%s', '%s'), %s", "u", "v", F.col("betweenness").cast("string")).alias("value"))
 
 
 def flags_line(flags: DataFrame, ordinal: str, flag: str) -> DataFrame:
@@ -55,9 +60,17 @@ def flags_line(flags: DataFrame, ordinal: str, flag: str) -> DataFrame:
     return flags.agg(F.concat(F.array_join(F.transform(ordered, lambda s: s[flag].cast("string")), " "), F.lit(" ")).alias("value"))
 
 
+def flags_file(flags: DataFrame, ordinal: str, flag: str, path: str) -> None:
+    """``flags_line`` as a file: sorted by ``ordinal`` and streamed through one task, never held as a whole."""
+    ordered = flags.repartition(1).sortWithinPartitions(ordinal)
+    ordered.select(F.col(flag).cast("string").alias("value")).write.mode("overwrite").option("lineSep", " ").text(path)
+
+
 def text_file(lines: DataFrame, path: str) -> None:
-    """The ``value`` column as text, overwriting, in the order of the rows."""
-    lines.coalesce(1).write.mode("overwrite").text(path)
+    """The ``value`` column as text in one file, overwriting, ordered by the other columns from left to right."""
+    order = [c for c in lines.columns if c != "value"]
+    one = lines.repartition(1)
+    (one.sortWithinPartitions(*order) if order else one).select("value").write.mode("overwrite").text(path)
 
 
 def csv_report(df: DataFrame, path: str) -> None:
@@ -74,6 +87,10 @@ def batch_csv_sink(path: str):
     return write
 
 
-def console(df: DataFrame, rows: int = 20) -> None:
-    """Print the first rows of a report."""
+def console(df: DataFrame, rows: int = 20) -> float:
+    """Print the first rows of a report and the seconds it took; returns them."""
+    began = time.perf_counter()
     df.show(rows, truncate=False)
+    took = time.perf_counter() - began
+    print(f"Duration: {took:.3f} s")
+    return took
