@@ -126,6 +126,16 @@ def edge_betweenness(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, flows).groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.round(F.sum("flow") / 2, 9).alias("betweenness"))
 
 
+def top_edge(edges: DataFrame) -> DataFrame:
+    """The edge (u, v, betweenness) of highest betweenness, the smaller one on ties; no row without edges."""
+    return edge_betweenness(edges).orderBy(F.desc("betweenness"), "u", "v").limit(1)
+
+
+def without_edge(edges: DataFrame, u, v) -> DataFrame:
+    """``edges`` without both directions of one edge."""
+    return edges.where(~(((F.col("src") == u) & (F.col("dst") == v)) | ((F.col("src") == v) & (F.col("dst") == u))))
+
+
 def modularity(edges: DataFrame, membership: DataFrame) -> float:
     """Modularity of a partition (node, component) of the graph ``edges`` (both directions); 0 without edges."""
     a = membership.select(F.col("node").alias("src"), F.col("component").alias("ca"))
@@ -246,9 +256,8 @@ def girvan_newman(edges: DataFrame, max_cuts: int | None = None, slack: float =
         if current.isEmpty():
             break
         cuts += 1
-        top = edge_betweenness(current).orderBy(F.desc("betweenness"), "u", "v").first()
-        cut = ((F.col("src") == top["u"]) & (F.col("dst") == top["v"])) | ((F.col("src") == top["v"]) & (F.col("dst") == top["u"]))
-        current = cut_lineage(current.where(~cut))
+        top = top_edge(current).first()
+        current = cut_lineage(without_edge(current, top["u"], top["v"]))
         parts = components(current, nodes)
         score = modularity(original, parts)
         if score >= best_score:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orefield.operators import graph
 from orefield.plans.mining_queries import pairs
 from orefield.plans.registry import CORE
+from orefield.session import cut_lineage
 
 #: Items two users must share for an edge; more for the graph that is cut.
 SHARED, SHARED_CUT, ROUNDS, DEPTH = 3, 5, 5, 12
@@ -118,6 +119,34 @@ def edge_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("u", "v", F.round("betweenness", 6).alias("betweenness"))
 
 
+_TOP = f"""
+    WITH RECURSIVE {_paths_sql().replace(_edges_sql(SHARED), _edges_sql(SHARED_CUT))}, w AS (SELECT * FROM s{DEPTH}),
+    top AS (SELECT h.u, h.v, round(sum(a.sigma * b.sigma / t.sigma), 6) AS betweenness
+            FROM h JOIN w a ON a.node = h.u JOIN w b ON b.root = h.v JOIN w t ON t.root = a.root AND t.node = b.node AND t.dist = a.dist + 1 + b.dist
+            GROUP BY 1, 2 ORDER BY betweenness DESC, u, v LIMIT 1)
+"""
+
+
+@CORE.add("top_edge", f"{_TOP} SELECT u, v, betweenness FROM top")
+def top_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edge of highest betweenness, which a cut removes."""
+    return graph.top_edge(edges(spark, sf_dir, SHARED_CUT)).withColumn("betweenness", F.round("betweenness", 6))
+
+
+@CORE.add(
+    "components_after_cut",
+    f"""{_TOP}, e2 AS (SELECT e.src, e.dst FROM e, top WHERE NOT (src = u AND dst = v) AND NOT (src = v AND dst = u)),
+    c AS (SELECT DISTINCT src AS root, src AS node FROM e UNION SELECT c.root, e2.dst FROM c JOIN e2 ON c.node = e2.src)
+    SELECT node, min(root) AS component FROM c GROUP BY 1
+    """,
+)
+def components_after_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the graph without that edge."""
+    e = cut_lineage(edges(spark, sf_dir, SHARED_CUT))
+    top = graph.top_edge(e).first()
+    return graph.components(graph.without_edge(e, top["u"], top["v"]) if top else e, graph.vertices(e))
+
+
 @CORE.add("girvan_newman")
 def girvan_newman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of greatest modularity; iterative, so without SQL."""

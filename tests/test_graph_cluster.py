@@ -2,10 +2,11 @@ import math
 import random
 from collections import defaultdict, deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orefield.operators import cluster, graph
+from orefield.operators import cluster, graph, meeting
 from orefield.plans import cluster_queries, graph_queries  # noqa: F401  (register their queries)
 from orefield.plans.registry import CORE
 
@@ -94,6 +95,25 @@ def test_long_chain_and_isolated_nodes(spark):
     assert set(found.values()) == {"n000", "z"} and found["z"] == "z"
 
 
+@pytest.mark.parametrize("bucket", [3, 4096])
+def test_hot_tokens_are_split(spark, bucket, monkeypatch):
+    rows = [(f"r{i:03d}", "hot") for i in range(60)] + [(f"r{i:03d}", f"t{i % 9}") for i in range(60)]
+    df = spark.createDataFrame(rows, "record string, token string")
+    got = [(r.token, r.a.record, r.b.record) for r in meeting.meet(df, ["token"], bucket).collect()]
+    expected = {(t, a, b) for a, t in rows for b, u in rows if t == u}
+    assert len(got) == len(expected) and set(got) == expected
+    monkeypatch.setattr(meeting, "SPLIT_KEYS", 0)  # hot keys are met by a join that splits
+    assert sorted((r.token, r.a.record, r.b.record) for r in meeting.meet(df, ["token"], bucket).collect()) == sorted(expected)
+    assert meeting.meet(df.limit(0), ["token"]).count() == 0
+
+
+def test_no_task_meets_a_hot_token_alone(spark):
+    df = spark.range(6000).select(F.col("id").cast("string").alias("record"), F.lit("everywhere").alias("token"))
+    met = meeting.meet(df, ["token"], 200)
+    load = sorted(r.n for r in met.where("a.record < b.record").groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    assert sum(load) == 6000 * 5999 // 2 and load[-1] <= 3 * load[len(load) // 2]
+
+
 def test_cooccurrence(spark):
     rng = random.Random(1)
     pairs = [(f"u{rng.randint(0, 15)}", f"i{rng.randint(0, 12)}") for _ in range(140)] + [(f"u{i}", "hot") for i in range(16)] + [(None, "i1"), ("u1", None)]
@@ -117,6 +137,41 @@ def blobs(seed=0, n=240):
     return rows
 
 
+def test_clusters_merge_by_either_deviation():
+    assert cluster._apart([10.0], [10.0], [0.0], [1.0]) == 1.0 == cluster._apart([0.0], [1.0], [10.0], [10.0])
+    assert cluster._apart([3.0, 1.0], [0.0, 1.0], [0.0, 1.0], [0.0, 9.0]) == 3.0
+
+
+def test_new_cluster_joins_an_old_one_by_its_own_width(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1), 0.0], 1) for i in range(60)] + [(100 + i, [400 + rng.gauss(0, 1), 0.0], 1) for i in range(60)]
+    rows += [(200 + i, [20.0 + 14 * (i % 2) + rng.gauss(0, 0.1), 0.0], 2) for i in range(9)]
+    points = spark.createDataFrame(rows, "point_id long, features array<double>, round int")
+    state = cluster.bfr(points, 2, alpha=2.0)
+    assert sum(s.n for s in state.ds.values()) + sum(s.n for s in state.cs.values()) + state.n_retained == len(rows)
+    labels = {r.point_id: r.cluster for r in cluster.bfr_labels(state).collect()}
+    assert sorted(labels) == sorted(r[0] for r in rows)
+
+
+@pytest.mark.parametrize("local_values", [0, 2_000_000])
+def test_kmeans_in_a_task_and_over_tables(spark, local_values):
+    rows = [(i, [float(i % 7), float(i * i % 11)]) for i in range(80)]
+    points = spark.createDataFrame(rows, "point_id long, features array<double>")
+    start = [[0.0, 0.0], [6.0, 10.0], [900.0, 900.0]]  # the third loses all points at once
+    _, found = cluster.kmeans(points, start, local_values=local_values)
+    ids, values = np.array([i for i, _ in rows]), np.array([f for _, f in rows])
+    expected, rest = cluster._lloyd(ids, values, np.array(start), 100, 1e-4, 0)
+    assert rest and all(math.isclose(x, y, abs_tol=1e-9) for (_, c), e in zip(found, expected) for x, y in zip(c, e))
+
+
+def test_starts_are_means_of_six(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(40)]
+    points = spark.createDataFrame(rows, "point_id long, features array<double>")
+    drawn = sorted(sorted(range(40), key=lambda i: (cluster._seeded(7, "start", i), i))[:18])
+    assert cluster._start_means(points, 3, 7) == [[sum(drawn[g * 6 : g * 6 + 6]) / 6, 1.0] for g in range(3)]
+    assert len(cluster._start_means(points, 30, 7)) == 30
+
+
 def test_kmeans(spark):
     rows = blobs()[:240]
     points = spark.createDataFrame(rows, "point_id long, features array<double>, round int")

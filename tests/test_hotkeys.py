@@ -1,6 +1,6 @@
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -53,6 +53,19 @@ def test_profile_and_heavy_keys(spark):
     assert heavy == {k for k, rs in by.items() if len(rs) >= 0.01 * total}
 
 
+@pytest.mark.parametrize("share", [1.0, 0.3, 0.05, 0.001])
+def test_heavy_keys_by_selection(spark, share):
+    rng = random.Random(4)
+    names = [f"k{min(int(rng.paretovariate(0.5)), 900)}" for _ in range(3000)] + ["edge"] * 150 + [None] * 300
+    df = spark.createDataFrame([(n, 1) for n in names], "name string, v int").repartition(5)
+    counts = Counter(n for n in names if n)
+    for bins in (2, 256):
+        got = {r.key: r.n_rows for r in hotkeys.heavy_keys(df, "name", share, bins, max_rounds=64).collect()}
+        assert got == {k: n for k, n in counts.items() if n >= share * sum(counts.values()) - 1e-9}
+    one = spark.createDataFrame([(7,)] * 9, "key long")
+    assert [(r.key, r.n_rows) for r in hotkeys.heavy_keys(one, "key", share).collect()] == [(7, 9)]
+
+
 def test_empty_and_constant(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert hotkeys.keyed_quantiles(empty, "k", "v", [0.5]).count() == 0

@@ -1,11 +1,14 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from orefield.functions.hashing import coefficients
+from orefield.functions.text import now_text
 from orefield.operators.reservoir import reservoir
 from orefield.operators.sketches import fm_windows
+from orefield.session import ensure_checkpoint_dir
 from orefield.sources import readers, writers
 from orefield.sources.tables import latest_by
 from orefield.streaming.pipelines import run_to_end, stream_fm, stream_reservoir, top_tags_sink
@@ -52,6 +55,30 @@ def test_writers(spark, tmp_path):
     assert lines(tmp_path / "csv")[0] == "i,f"
 
 
+def test_order_of_text_files(spark, tmp_path):
+    df = spark.createDataFrame([(k * 37 % 101, f"line {k * 37 % 101:03d}") for k in range(101)], "place int, value string").repartition(7)
+    writers.text_file(df, str(tmp_path / "t"))
+    assert lines(tmp_path / "t") == [f"line {k:03d}" for k in range(101)]
+    writers.flags_file(df.select("place", (F.col("place") % 2).alias("flag")), "place", "flag", str(tmp_path / "f"))
+    assert next((tmp_path / "f").glob("part-*")).read_text() == "".join(f"{k % 2} " for k in range(101))
+    assert writers.console(df.limit(1)) > 0
+    assert len(df.limit(1).select(now_text().alias("t")).first().t) == 19
+
+
+def test_no_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+        getConf = staticmethod(dict)  # noqa: N815
+
+    class Session:
+        sparkContext = Context  # noqa: N815
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        ensure_checkpoint_dir(Session)
+
+
 def test_latest(spark):
     t = dt.datetime(2020, 1, 1)
     rows = [("a", 1, t, "x"), ("a", 2, t + dt.timedelta(1), None), ("a", 3, None, "y"), (None, 9, t, "z"), ("b", 5, None, "w")]

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +34,40 @@ def test_itemsets_agree(spark, support):
     assert set(expected) <= candidates
 
 
+@pytest.mark.parametrize("size", [1, 22])
+def test_long_baskets_at_low_support(spark, size):
+    pairs = [("long", f"i{k:02d}") for k in range(22)] + [("other", f"i{k:02d}") for k in range(7)] + [(f"b{k}", f"i{k:02d}") for k in range(size)]
+    rows = itemsets.baskets(spark.createDataFrame(pairs, "b string, i string"), "b", "i")
+    sets = [{i for b, i in pairs if b == name} for name in {b for b, _ in pairs}]
+    common = sets[0].__class__.union(*[a & b for a, b in combinations(sets, 2)])
+    expected = brute_itemsets([s & common for s in sets], 2) if len(common) < 10 else None
+    got = {tuple(r["items"]): r["n"] for r in itemsets.son(rows, 2, 4).collect()}
+    assert got == expected if expected is not None else len(got) == 2**7 - 1 + 15
+
+
+def test_local_mining():
+    rng = random.Random(3)
+    for support in (1, 2, 4):
+        sets = [sorted({rng.randint(0, 8) for _ in range(rng.randint(0, 6))}) for _ in range(20)]
+        owner = np.array([k for k, s in enumerate(sets) for _ in s], dtype=np.int64)
+        flat = np.array([i for s in sets for i in s], dtype=np.int64)
+        found = list(itemsets.mine_local(owner, flat, support))
+        assert len(found) == len(set(found)) and set(found) == set(brute_itemsets([set(s) for s in sets if s], support))
+
+
+def test_parts_of_the_two_pass_algorithm():
+    assert itemsets.son_parts(1000, 2, 8) == 1 and itemsets.son_parts(1000, 9, 4) == 2 and itemsets.son_parts(1000, 100, 8) == 8
+    assert itemsets.son_parts(5 * itemsets.PART_ROWS, 100, 2) == 5
+    assert itemsets.son_parts(5 * itemsets.PART_ROWS, 4, 2) is None
+
+
+def test_parts_that_do_not_fit_are_mined_over_tables(spark, monkeypatch):
+    monkeypatch.setattr(itemsets, "PART_ROWS", 10)
+    sets = [{"a", "b", "c"}, {"a", "b"}, {"a", "c"}, {"a", "b", "c"}, {"d"}]
+    rows = itemsets.baskets(spark.createDataFrame([(f"b{k}", i) for k, s in enumerate(sets) for i in s], "b string, i string"), "b", "i")
+    assert {tuple(r["items"]): r["n"] for r in itemsets.son(rows, 2, 4).collect()} == brute_itemsets(sets, 2)
+
+
 def test_itemsets_empty(spark):
     rows = itemsets.baskets(spark.createDataFrame([], "b string, i string"), "b", "i")
     assert itemsets.levelwise(rows, 1).count() == itemsets.fp_growth(rows, 1).count() == itemsets.son(rows, 1).count() == 0
@@ -84,6 +119,30 @@ def test_lsh_is_inside_exact(spark):
     assert exact == brute and found <= exact
 
 
+def test_reports_after_every_event(spark):
+    events = [(n, [f"t{n * n % 5}", f"t{n % 3}"] if n % 4 else [f"t{n % 7}"]) for n in range(1, 200)]
+    df = spark.createDataFrame(events, "n long, tags array<string>")
+    slots = {r.n: r.slot for r in df.select("n", reservoir.slot_of(F.col("n"), 10, 3).alias("slot")).collect()}
+    rows = reservoir.reservoir_reports(df, "n", "tags", 10, 3).collect()
+    held = {}
+    for n, tags in events:
+        if slots[n] is not None:
+            held[slots[n]] = tags
+        counts = Counter(t for ts in held.values() for t in ts)
+        top = sorted(set(counts.values()), reverse=True)[:3]
+        expected = {(t, c, top.index(c) + 1) for t, c in counts.items() if c in top}
+        assert {(r.tag, r.n, r.rank) for r in rows if r.n_from <= n and (r.n_to is None or n <= r.n_to)} == expected
+    assert reservoir.reservoir_reports(df.limit(0), "n", "tags", 10, 3).count() == 0
+
+
+def test_partition_function(spark):
+    df = spark.createDataFrame([(f"k{i}", i) for i in range(50)] + [(None, 99)], "k string, partitions int")
+    placed = explore.partition_by(df, "k", 4, lambda k: int(k[1:]))
+    assert placed.columns == df.columns
+    assert {(r.partitions, r.p) for r in placed.select("partitions", F.spark_partition_id().alias("p")).collect()} == {(i, i % 4) for i in range(50)} | {(99, 0)}
+    assert [r.n for r in explore.layout(placed).orderBy("partition").collect()] == [14, 13, 12, 12]
+
+
 def test_reservoir(spark):
     events = spark.range(1, 1001).select(F.col("id").alias("n"), F.concat(F.lit("t"), F.col("id") % 7).alias("t"))
     sample = reservoir.reservoir(events, "n", "t", 100, 9)

@@ -1,3 +1,5 @@
+import time
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -60,6 +62,17 @@ def test_never_fails_nor_invents(text):
         assert value and value == value.strip()
 
 
+def test_hostile_fields_take_linear_time():
+    began = time.perf_counter()
+    for text in ('"a,' * 60_000 + '\\"', "(a,[b;" * 60_000, "[" * 100_000, "'x''," * 40_000):
+        assert all(v == v.strip() and v for v in split_field(text))
+    assert time.perf_counter() - began < 20
+
+
+def test_searches_for_a_closing_quote_share_what_failed():
+    assert split_field('"a,"","b') == split_field('"a,"","b') == ['"a', '"b']
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "A, B", "x"), (2, None, "y"), (3, "", "z"), (4, "A,A", "w"), (5, "x" * 200_000, "v"), (1, "C", "u")], "id long, f string, value string")
     rows = {(r.id, r.pos, r.v) for r in split_packed(df, "f", ["id"], value="v").collect()}

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from orefield.plans.registry import CORE
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"girvan_newman", "bfr_rounds", "bfr_final", "stream_fm"}
+SLOW: set[str] = set()
 
 
 @pytest.mark.parametrize("name", [n for n in CORE.sql if n not in SLOW])
@@ -21,7 +21,7 @@ def test_same_as_sql(spark, name):
 
 @pytest.mark.parametrize("name", [n for n in CORE.queries if n not in CORE.sql and n not in SLOW])
 def test_gives_rows(spark, name):
-    df = CORE.queries[name](spark, SF)
+    df = CORE.queries[name](spark, SF.replace("0.001", "0.01") if name == "girvan_newman" else SF)  # the smallest graph has no edges
     assert df.count() > 0
 
 
