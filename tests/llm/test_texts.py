@@ -208,6 +208,55 @@ def test_copies_are_no_boilerplate(spark):
     assert clean_documents(df, "doc_id", "text", "host").count() == len(real)
 
 
+def held_out(kind, rng, k):
+    """Residue whose names, words and syntaxes no list of the library has."""
+    name = rng.choice(["warehouse_bin", "Pet Name", "seatRow", "policy-id", "tariff", "courier", "Vessel.Flag"])
+    vocabulary = [f"{a}{b}um" for a in ("vex", "grol", "mir", "tand", "pliv") for b in ("ar", "es", "in", "o")]
+    code = rng.choice([411, 418, 431, 451, 507, 511])
+    return {
+        "strong mark": lambda: rng.choice(["Your {{%s}} is ready.", "Signed, ${%s}.", "About {!%s}: we started small.", "Rated ##%s## by all.", "Hello {{ %s }}!", "On <%%= %s %%> we are closed.", "Meet *|%s|* today.", "The {%% %s %%} is open."]) % name,
+        "weak mark": lambda: rng.choice(["Your [%s] is ready.", "Signed, <%s>.", "About {%s}: we started small.", "Rated |%s| by all."]) % name,
+        "filler": lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(6, 14))).capitalize() + ".",
+        "taught filler": lambda: "Lorem ipsum " + " ".join(rng.choice(vocabulary) for _ in range(12)) + ".",
+        "repetition": lambda: rng.choice(["tbc tbc tbc tbc tbc", "Zonk zonk zonk zonk.", "none else none none else none none", "leer leer leer leer"]),
+        "status": lambda: rng.choice(["HTTP/2 %d", "Error %d", "status: %d", "Fehler %d.", "http %d"]) % code,
+        "exception": lambda: rng.choice(["WidgetOverflowError: row 7", "ParseException: end of file", "quotaerror: none left"]),
+        "script": lambda: rng.choice(["Kindly allow the site scripts.", "This corner requires client cookies.", "Switch on your JavaScript first.", "JS is turned off here.", "Cookies are blocked at present."]),
+    }[kind]()
+
+
+def test_recall_on_what_no_list_names(spark):
+    rng = random.Random(11)
+    kinds = ["strong mark", "weak mark", "filler", "taught filler", "repetition", "status", "exception", "script"]
+    prose = ["The soup was warm and the staff was kind on day {}.", "We came {} times and it was great [really].", "They had {} tables, and one was free."]
+    rows = [(k, kind, f"{prose[k % 3].format(k)}\n{held_out(kind, rng, k)}", f"h{k % 4}") for k, kind in enumerate(kinds * 30)]
+    rows += [(1000 + k, None, f"{prose[k % 3].format(k)}\nWe liked it, {k} of us.", f"h{k % 4}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, kind string, text string, host string").repartition(5)
+    got = {r.doc_id for r in residue_documents(df, "doc_id", "text", "host").collect()}
+    recall = {kind: sum(r[0] in got for r in rows if r[1] == kind) / 30 for kind in kinds}
+    assert min(recall.values()) >= 0.9, recall
+    assert not any(r[0] in got for r in rows if r[1] is None)
+
+
+def test_names_and_words_are_learned_from_the_corpus(spark):
+    weak = [(1, "We open on [tariff zone] at noon.", "a"), (2, "Nice soup [really].", "a"), (3, "Brimel tork vasun drell moxit.", "a"), (4, "Good bread, warm welcome, kind staff here.", "a")]
+    taught = [(10, "Pay {{ tariff_zone }} now.", "b"), (11, "Lorem ipsum brimel tork vasun drell moxit plun.", "b"), (12, "Your ##Tariff Zone## again.", "c"), (13, "Ipsum vasun lorem tork drell brimel moxit.", "c")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, host string")
+    found = lambda rows: {r.doc_id for r in residue_documents(frame(rows), "doc_id", "text", "host").collect()}
+    assert found(weak) == set()
+    assert found(weak + taught) == {1, 3, 10, 11, 12, 13}
+    assert found(weak + taught[:1] * 5 + taught[1:2]) == {10, 11}  # copies teach once
+
+
+def test_subtraction_decides(spark):
+    banner = "Please enable JavaScript to book a table."
+    rows = [(k, f"Dish {chr(97 + k)} was good.\n{banner}", "site") for k in range(20)]
+    rows += [(100, banner, "site"), (101, f"A fine place.\n{banner}", "elsewhere"), (102, "A fine place.", "elsewhere")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string")
+    got = {share: {r.doc_id for r in residue_documents(df, "doc_id", "text", "host", boilerplate_share=share).collect()} for share in (0.2, 1.0)}
+    assert got[0.2] == {100, 101} and got[1.0] == {*range(20), 100, 101}
+
+
 def test_tokens(spark):
     texts = ["Hello  world", "", None, "Größe 😀\n\n x" * 50]
     got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select(token_count(F.col("t")).alias("n")).collect()]
