@@ -1,12 +1,18 @@
 """Distinct counts of huge identifier sets: mergeable set sketches with registers of logarithmic base.
 
-A sketch has ``m`` registers. Register i holds K_i = floor(1 - log_b(h_i)), where h_i is the least of the set's independent
-exponential(a) hash values for i; a larger set has larger registers, and the union of two sets has their maximum. The base b close to
-1 makes a register almost as informative as the hash value itself, so two sketches also tell how much their sets overlap. A set of up
-to ``sparse`` identifiers is kept as its 64-bit hashes, which takes no more room and is exact.
+A sketch has ``m`` registers. Register i holds K_i = floor(1 - log_b(h_i)), where h_i is the least of the set's exponential(a) hash values
+for i; a larger set has larger registers, and the union of two sets has their maximum. The base b close to 1 makes a register almost as
+informative as the hash value itself, so two sketches also tell how much their sets overlap.
 
-Stated errors (relative standard deviation): of a count sqrt(((b + 1) / (b - 1) * ln b - 1) / m), 0 if sparse; of a Jaccard estimate
-from the Fisher information of the three register comparisons (greater, equal, less).
+An identifier draws its ``m`` hash values in ascending order, as sums of exponential spacings, and meets the registers in the order of a
+permutation of its own. Once a value is above every register's, so are all that follow, and the identifier is done: in a large set
+nearly all stop at their first value.
+
+Every estimate comes from registers, for small sets as for large ones. Only the stored form differs: up to ``sparse`` identifiers are
+kept as the 64-bit hashes from which the registers follow, which takes no more room than the registers.
+
+Stated errors (relative standard deviation): of a count sqrt(((b + 1) / (b - 1) * ln b - 1) / m), of a Jaccard estimate from the Fisher
+information of the three register comparisons (greater, equal, less).
 """
 
 from __future__ import annotations
@@ -24,6 +30,9 @@ from pyspark.sql import functions as F
 from orefield.session import default_parallelism
 
 _CHUNK = 1 << 15
+#: Up to so many identifiers all hash values are drawn at once, in tables of so many values.
+_FEW, _TABLE = 64, 1 << 20
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -36,8 +45,8 @@ class SketchSpec:
     sparse: int = 256
 
     def __post_init__(self) -> None:
-        if self.m < 2 or not 1 < self.b <= 2 or self.a <= 0 or self.sparse < 0:
-            raise ValueError("m >= 2, 1 < b <= 2, a > 0 and sparse >= 0 are required")
+        if self.m < 2 or self.m & (self.m - 1) or not 1 < self.b <= 2 or self.a <= 0 or self.sparse < 0:
+            raise ValueError("m a power of 2, 1 < b <= 2, a > 0 and sparse >= 0 are required")
 
     @property
     def count_error(self) -> float:
@@ -45,22 +54,65 @@ class SketchSpec:
         return math.sqrt(((b + 1) / (b - 1) * math.log(b) - 1) / self.m)
 
     def registers(self, least: np.ndarray) -> np.ndarray:
-        """Register values for the least 64-bit hashes."""
-        u = (least.astype(np.float64) + 0.5) / 2.0**64
-        h = -np.log1p(-np.minimum(u, 1 - 2.0**-53)) / self.a
-        k = np.floor(1 - np.log(h) / math.log(self.b))
+        """Register values for the least hash values."""
+        k = np.floor(1 - np.log(np.maximum(least, 1e-300)) / math.log(self.b))
         return np.clip(k, 0, 65535).astype("<u2")
 
-    def _seeds(self) -> np.ndarray:
-        return _mix(np.arange(1, self.m + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    def _spacing(self, hashes: np.ndarray, step: np.ndarray | int) -> np.ndarray:
+        """The ``step``-th spacing (from 0) of identifiers: exponential with rate a times the number of values left."""
+        u = (_mix(hashes + np.asarray(step, dtype=np.uint64) * _GOLDEN) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        return -np.log1p(-u) / (self.a * (self.m - np.asarray(step, dtype=np.float64)))
+
+    def _order(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First register and (odd) stride of the permutation of each identifier."""
+        drawn = _mix(hashes ^ np.uint64(0xD6E8FEB86659FD93))
+        return (drawn & np.uint64(self.m - 1)).astype(np.int64), ((drawn >> np.uint64(32)) & np.uint64(self.m - 1)).astype(np.int64) | 1
+
+    def _all_values(self, hashes: np.ndarray) -> np.ndarray:
+        """The hash values of each identifier by register."""
+        steps = np.arange(self.m)
+        values = np.cumsum(self._spacing(hashes[:, None], steps[None, :]), axis=1)
+        first, stride = self._order(hashes)
+        out = np.empty_like(values)
+        np.put_along_axis(out, (first[:, None] + stride[:, None] * steps[None, :]) & (self.m - 1), values, axis=1)
+        return out
+
+    def _least_values(self, hashes: np.ndarray) -> np.ndarray:
+        """The least hash value by register of one large set."""
+        least = np.full(self.m, np.inf)
+        for at in range(0, len(hashes), _CHUNK):
+            part = hashes[at : at + _CHUNK]
+            place, stride = self._order(part)
+            value = np.zeros(len(part))
+            for step in range(self.m):
+                value += self._spacing(part, step)
+                keep = value <= least.max()
+                if not keep.all():
+                    part, place, stride, value = part[keep], place[keep], stride[keep], value[keep]
+                if not len(part):
+                    break
+                np.minimum.at(least, place, value)
+                place = (place + stride) & (self.m - 1)
+        return least
 
     def dense(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Registers of consecutive groups of hashes; ``starts`` are the places where groups begin."""
         hashes = hashes.astype(np.uint64, copy=False)
-        least = np.empty((self.m, len(starts)), dtype=np.uint64)
-        for i, seed in enumerate(self._seeds()):
-            least[i] = np.minimum.reduceat(_mix(hashes ^ seed), starts)
-        return self.registers(least.T)
+        ends = np.r_[starts[1:], len(hashes)]
+        out = np.empty((len(starts), self.m), dtype="<u2")
+        few = np.flatnonzero(ends - starts <= _FEW)
+        size, held = 0, []
+        for k in [*few.tolist(), -1]:
+            if held and (k < 0 or (size + ends[k] - starts[k]) * self.m > _TABLE):
+                values = self._all_values(np.concatenate([hashes[starts[g] : ends[g]] for g in held]))
+                out[held] = self.registers(np.minimum.reduceat(values, np.cumsum([0, *[ends[g] - starts[g] for g in held[:-1]]]), axis=0))
+                size, held = 0, []
+            if k >= 0:
+                held.append(k)
+                size += ends[k] - starts[k]
+        for k in np.flatnonzero(ends - starts > _FEW):
+            out[k] = self.registers(self._least_values(hashes[starts[k] : ends[k]]))
+        return out
 
     def cardinality(self, k: np.ndarray) -> float:
         """Estimate from registers."""
@@ -206,14 +258,25 @@ def merge_sketches(sketches: DataFrame, cells: list[str], spec: SketchSpec = Ske
     return _combined(sketches.select(cell.alias("cell"), "is_sparse", "payload"), cells, spec)
 
 
+def _registers_of(spec: SketchSpec, sparse: list[bool], payloads: list[bytes], size: int = 1024) -> Iterator[np.ndarray]:
+    """The registers of each sketch, whatever form it is stored in, ``size`` sketches at a time."""
+    for at in range(0, len(payloads), size):
+        part = payloads[at : at + size]
+        kinds = sparse[at : at + size]
+        hashes = [np.frombuffer(p, dtype=np.int64) for p, k in zip(part, kinds) if k]
+        made = iter(spec.dense(np.concatenate(hashes), np.cumsum([0, *map(len, hashes[:-1])]))) if hashes else iter(())
+        for p, k in zip(part, kinds):
+            yield next(made) if k else np.frombuffer(p, dtype="<u2")
+
+
 def with_estimates(sketches: DataFrame, spec: SketchSpec = SketchSpec()) -> DataFrame:
-    """Adds n_distinct (DOUBLE) and rel_error, the stated relative standard error (0 where the sketch is sparse)."""
+    """Adds n_distinct (DOUBLE), estimated from registers, and rel_error, the stated relative standard error."""
 
     @F.pandas_udf("double")
     def estimate(is_sparse: pd.Series, payload: pd.Series) -> pd.Series:
-        return pd.Series([len(p) / 8 if s else spec.cardinality(np.frombuffer(p, dtype="<u2")) for s, p in zip(is_sparse, payload)], dtype="float64")
+        return pd.Series([spec.cardinality(k) for k in _registers_of(spec, is_sparse.tolist(), payload.tolist())], dtype="float64")
 
-    return sketches.withColumn("n_distinct", estimate("is_sparse", "payload")).withColumn("rel_error", F.when(F.col("is_sparse"), 0.0).otherwise(F.lit(spec.count_error)))
+    return sketches.withColumn("n_distinct", estimate("is_sparse", "payload")).withColumn("rel_error", F.lit(spec.count_error))
 
 
 def joint_estimate(spec: SketchSpec, ku: np.ndarray, kv: np.ndarray) -> tuple[float, float, float]:
@@ -256,26 +319,19 @@ def joint_estimate(spec: SketchSpec, ku: np.ndarray, kv: np.ndarray) -> tuple[fl
     pm, pl = p(u - v * j), p(v - u * j)
     dm, dl = -v * slope(u - v * j), -u * slope(v - u * j)
     information = spec.m * sum(s * s / max(q, 1e-12) for s, q in ((dm, pm), (dl, pl), (dm + dl, 1 - pm - pl)))
-    return j, (nu + nv) / (1 + j), 1 / math.sqrt(information)
+    error = 1 / math.sqrt(information)
+    if top - j < 1e-6:  # one set seems to lie in the other: no comparison informs on one side, and the index varies as a share of m registers
+        error = max(error, math.sqrt(j * (1 - j) / spec.m))
+    return j, (nu + nv) / (1 + j), error
 
 
 def joint_estimates(pairs: DataFrame, spec: SketchSpec = SketchSpec()) -> DataFrame:
-    """For rows with two sketches (is_sparse_a, payload_a, is_sparse_b, payload_b): adds n_union, n_both, jaccard, jaccard_error.
-
-    Two sparse sketches are compared exactly; a sparse one meets a dense one as registers.
-    """
+    """For rows with two sketches (is_sparse_a, payload_a, is_sparse_b, payload_b): adds n_union, n_both, jaccard, jaccard_error."""
 
     @F.pandas_udf("struct<n_union: double, n_both: double, jaccard: double, jaccard_error: double>")
     def estimate(sa: pd.Series, pa_: pd.Series, sb: pd.Series, pb: pd.Series) -> pd.DataFrame:
         out = []
-        for s, x, t, y in zip(sa, pa_, sb, pb):
-            if s and t:
-                x, y = np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64)
-                both = len(np.intersect1d(x, y))
-                union = len(x) + len(y) - both
-                out.append((float(union), float(both), both / union, 0.0))
-                continue
-            kx, ky = (spec.dense(np.frombuffer(p, dtype=np.int64), np.array([0]))[0] if q else np.frombuffer(p, dtype="<u2") for q, p in ((s, x), (t, y)))
+        for kx, ky in zip(_registers_of(spec, sa.tolist(), pa_.tolist()), _registers_of(spec, sb.tolist(), pb.tolist())):
             j, union, error = joint_estimate(spec, kx, ky)
             out.append((union, union * j, j, error))
         return pd.DataFrame(out, columns=["n_union", "n_both", "jaccard", "jaccard_error"])
