@@ -1,13 +1,15 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from orefield.llm.canonical import delete_keys, edit_distances, forms, map_rows, match_values
 from orefield.llm.mixing import mix, reached_shares
-from orefield.llm.packing import best_fit_runs, pack
+from orefield.llm.packing import pack, pack_local, place_items, sweep
 from orefield.llm.queries import LLM
 from orefield.llm.residue import PATTERNS, clean_documents, evidence_of, residue_documents
 from orefield.llm.tokens import encoder, VOCABULARY, token_count
@@ -81,19 +83,45 @@ def brute_best_fit(sizes, capacity):
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 30), max_size=60))
-def test_runs_pack_like_best_fit(sizes):
-    counts = dict(Counter(sizes))
-    matches, opened = best_fit_runs(counts, 30)
+def test_rounds_pack_like_best_fit(sizes):
+    place = pack_local(np.array(sizes, dtype=np.int64), 30)
     load = Counter()
-    for m in matches:
-        for k in range(m.n):
-            load[m.container + k] += m.size
-    assert sum(m.n for m in matches) == len(sizes) and all(v <= 30 for v in load.values())
+    for where, n in zip(place.tolist(), sizes):
+        load[where] += n
+    assert len(place) == len(sizes) and -1 not in load and all(v <= 30 for v in load.values())
     used = len(load)
-    assert used == sum(1 for c in range(opened) if load[c])
     assert used <= brute_best_fit(sizes, 30) + max(1, used // 20)
 
 
+def brute_sweep(is_gap):
+    stack, pairs, gaps = [], set(), []
+    for k, g in enumerate(is_gap):
+        if not g:
+            stack.append(k)
+        elif stack:
+            pairs.add((stack.pop(), k))
+        else:
+            gaps.append(k)
+    return pairs, stack[::-1], gaps
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.booleans(), max_size=40))
+def test_sweep(is_gap):
+    items, gaps, free_items, free_gaps = sweep(np.array(is_gap, dtype=bool))
+    assert (set(zip(items.tolist(), gaps.tolist())), free_items.tolist(), free_gaps.tolist()) == brute_sweep(is_gap)
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 11])
+def test_rounds_are_the_same_for_any_number_of_ranges(spark, ranges):
+    rng = random.Random(8)
+    sizes = [rng.choice([rng.randint(1, 64), rng.randint(1, 9), 7, 33]) for _ in range(700)]
+    items = spark.createDataFrame(list(enumerate(sizes)), "item long, size long").repartition(4)
+    got = {r.item: r.container for r in place_items(items, 64, local_items=0, ranges=ranges).collect()}
+    assert [got[k] for k in range(700)] == pack_local(np.array(sizes, dtype=np.int64), 64).tolist()
+    assert {r.item: r.container for r in place_items(items, 64).collect()} == got
+
+
 def test_pack(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice([0, 1, 7, 40, 60, 99, 100, 100, 101, 250])) for i in range(500)] + [(501, None), (7, 40), (None, 5)]
