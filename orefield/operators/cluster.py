@@ -136,8 +136,9 @@ def kmeans(points: DataFrame, start: list[list[float]], max_rounds: int = 100, t
     if points.limit(local_values // dim + 1).count() <= local_values // dim:
 
         def loop(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            frame = pd.concat(list(frames)).sort_values("point_id")
-            if len(frame):
+            held = [frame for frame in frames if len(frame)]
+            if held:
+                frame = pd.concat(held).sort_values("point_id")
                 found, ended = _lloyd(frame["point_id"].to_numpy(), np.array(frame["features"].tolist(), dtype=np.float64), np.array(start, dtype=np.float64), max_rounds, tol, seed)
                 yield pd.DataFrame({"k": range(len(found)), "centroid": found.tolist(), "ended": ended})
 
