@@ -5,24 +5,22 @@ Equal sets are one class and take part once. Tokens are ordered by how many sets
 *Large* sets scan inverted lists, among sets of compatible size. Both look only at the rarest part of a set which a qualifying
 partner must touch, so lists of frequent tokens are not paired. The union of the pairs is verified by exact overlap.
 
-No window or list ever holds a large set: the rarest part comes from a histogram of token frequencies per set, and the verification
-joins on (set, token).
+No window or list ever holds a large set, and no task all sets of a frequent token: the rarest part comes from a histogram of token
+frequencies per set, a token that many sets share is split, and the verification joins on (set, token).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orefield.operators.hotkeys import hot_split_join
+from orefield.operators.meeting import meet, rare_part, shared_counts, sized_tokens
 from orefield.session import cut_lineage
 
-#: Tokens of one set that a single verification task joins at most.
-SLICE = 50_000
-
 
 def set_classes(sets: DataFrame, record: str, token: str, min_size: int) -> tuple[DataFrame, DataFrame]:
     """Distinct (record, token) rows, and (record, n, rep) for records with at least ``min_size`` tokens.
@@ -55,9 +53,7 @@ def overlap_join(sets: DataFrame, record: str, token: str, threshold: float, min
     rows, members = set_classes(sets, record, token, min_size)
     members = cut_lineage(members)
     reps = members.where("record = rep").select("record", "n")
-    tokens = cut_lineage(hot_split_join(rows, reps, "record"))
-    spread = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")  # a token of one set pairs nothing
-    tokens = cut_lineage(hot_split_join(tokens, spread, "token"))
+    tokens = cut_lineage(sized_tokens(rows, reps))  # a token of one set pairs nothing
 
     share = min(_least_overlap(threshold, min_size, min_size), min_size)  # overlap of any qualifying pair, at least
     least = F.ceil(F.col("n") * threshold - 1e-9)  # and of one with a set of n tokens
@@ -76,42 +72,21 @@ def overlap_join(sets: DataFrame, record: str, token: str, threshold: float, min
     subsets = spark.createDataFrame(chosen, "p int, at array<int>") if chosen else spark.createDataFrame([], "p int, at array<int>")
     key = F.xxhash64(*[F.get("rare", F.col("at")[i]) for i in range(share)])
     keyed = lists.join(F.broadcast(subsets), "p").select("record", "n", key.alias("key"))
-    pairs = _meet(keyed, "key", threshold).where(F.greatest("n_a", "n_b") <= small)
+    pairs = _pairs(keyed, "key", threshold, lambda larger: larger <= small)
 
     # large sets: inverted lists of the n - least + 1 rarest tokens
-    near = tokens.where(F.col("n") >= math.ceil(threshold * (small + 1) - 1e-9)).withColumn("level", F.floor(F.log2("df") * 4).cast("int"))
-    levels = near.groupBy("record", "n", "level").agg(F.count(F.lit(1)).alias("c"))
-    by_set = Window.partitionBy("record").orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("record")
-    levels = levels.withColumn("upto", F.sum("c").over(by_set)).withColumn("single", F.col("n") - F.sum("c").over(whole))
-    # a level belongs to the rarest part if the levels before it do not fill it yet
-    wanted = levels.where(F.col("single") + F.col("upto") - F.col("c") < F.col("n") - least + 1)
-    cut = wanted.groupBy("record").agg(F.max("level").alias("cut"))
-    rare = hot_split_join(near, cut, "record").where("level <= cut").select("record", "n", "token")
-    pairs = pairs.unionByName(_meet(rare, "token", threshold).where(F.greatest("n_a", "n_b") > small))
-
-    # verification: the tokens of a, sliced, against (b, token)
-    found = pairs.distinct().withColumn("slices", F.ceil(F.col("n_a") / SLICE).cast("int"))
-    found = found.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    slices = F.ceil(F.col("n") / SLICE)
-    left = tokens.select(F.col("record").alias("rep_a"), F.pmod(F.xxhash64("token"), slices).cast("int").alias("slice"), "token")
-    right = tokens.select(F.col("record").alias("rep_b"), "token")
-    shared = (
-        found.join(left, ["rep_a", "slice"])
-        .join(right, ["rep_b", "token"])
-        .groupBy("rep_a", "rep_b", "n_a", "n_b")
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .withColumn("jaccard", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")))
-    )
-    return shared.where(F.col("jaccard") >= threshold - 1e-12), members
+    near = tokens.where(F.col("n") >= math.ceil(threshold * (small + 1) - 1e-9))
+    pairs = pairs.unionByName(_pairs(rare_part(near, least), "token", threshold, lambda larger: larger > small))
+
+    counted = shared_counts(pairs.distinct(), tokens).withColumn("jaccard", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")))
+    return counted.where(F.col("jaccard") >= threshold - 1e-12).withColumnsRenamed({"a": "rep_a", "b": "rep_b"}), members
 
 
-def _meet(rows: DataFrame, key: str, threshold: float) -> DataFrame:
-    """Pairs of records of compatible size that share a key."""
-    a = rows.select(key, F.col("record").alias("rep_a"), F.col("n").alias("n_a"))
-    b = rows.select(key, F.col("record").alias("rep_b"), F.col("n").alias("n_b"))
+def _pairs(rows: DataFrame, key: str, threshold: float, larger: Callable[[Column], Column]) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of records of compatible size that share a key; a key that many share is split over tasks."""
+    met = meet(rows, [key]).select(F.col("a.record").alias("a"), F.col("b.record").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
     compatible = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9
-    return a.join(b, key).where((F.col("rep_a") < F.col("rep_b")) & compatible).select("rep_a", "rep_b", "n_a", "n_b").distinct()
+    return met.where((F.col("a") < F.col("b")) & compatible & larger(F.greatest("n_a", "n_b"))).distinct()
 
 
 def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
