@@ -1,13 +1,14 @@
 """Frequency of every distinct term or n-gram: suffix-sorted counting.
 
-1. *Suffixes.* Every position of a record yields the suffix that starts there, cut to ``max_len`` terms. Equal suffixes of an Arrow
-   batch are merged at once. A suffix carries its occurrences and, for each depth d up to its length, the number of records for
+1. *Suffixes.* Every position of a record yields the suffix that starts there, cut to ``max_len`` terms. Equal suffixes of ``BLOCK``
+   terms are merged at once. A suffix carries its occurrences and, for each depth d up to its length, the number of records for
    which it is the first occurrence of its d-term prefix. These counters stand for the record sets: a record counts once for a prefix
    because only one of its occurrences is the first. They add up exactly and merge before the exchange, unlike lists of ids.
 2. *Routing* by first term. Suffixes of a first term with more than its share are split over several routes by their hash.
 3. *Reverse-lexicographic sort* inside each route, so a term list comes after all its extensions.
-4. *Stack.* One pass with a stack of the current prefix: a suffix that leaves a prefix pops it, emits its totals and adds its
-   occurrences to the prefix below. Totals of split first terms are added up at the end.
+4. *Stack.* One pass with a stack of the current prefixes. Inside an Arrow batch the prefixes of each depth are runs of rows and are
+   summed as arrays; the stack carries the prefixes that are open at its end into the next batch, which adds to them or pops them.
+   Totals of split first terms are added up at the end.
 """
 
 from __future__ import annotations
@@ -22,12 +23,27 @@ from pyspark.sql import functions as F
 from orefield.session import cut_lineage, default_parallelism
 
 
+#: Terms that are merged before they are passed on; bounds what a task holds.
+BLOCK = 500_000
+
+
 def _suffix_batches(max_len: int):
     schema = pa.schema([("terms", pa.list_(pa.string())), ("occurrences", pa.int64()), *[(f"first_{d}", pa.int64()) for d in range(max_len + 1)]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+        held: list[pa.Array] = []
+        size = 0
         for batch in batches:
-            column = batch.column(0)
+            held.append(batch.column(0))
+            size += len(held[-1].flatten())
+            if size >= BLOCK:
+                yield pa.concat_arrays(held)
+                held, size = [], 0
+        if held:
+            yield pa.concat_arrays(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for column in blocks(batches):
             lens = np.asarray(column.value_lengths().fill_null(0), dtype=np.int64)
             flat = column.flatten()
             keep = np.asarray(flat.is_valid())
@@ -79,53 +95,57 @@ def _rows(schema: pa.Schema, terms: pa.Array, *columns) -> pa.RecordBatch:
 def _stack_batches(max_len: int):
     schema = pa.schema([("terms", pa.list_(pa.string())), ("occurrences", pa.int64()), ("records", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefix: list[str] = []
-        counts, records = [0], [0]  # at depth d: totals of prefix[:d]
-        out: tuple[list, list, list] = ([], [], [])
-        seen = False
-
-        def pop() -> None:
-            n, r = counts.pop(), records.pop()
-            out[0].append(list(prefix))
-            out[1].append(n)
-            out[2].append(r)
-            if prefix:
-                prefix.pop()
-                counts[-1] += n
-
-        def ready() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(out[0], schema.field(0).type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], schema=schema)
-            for part in out:
-                part.clear()
-            return made
+    def emitted(terms: pa.Array, n, r) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([terms, pa.array(n, pa.int64()), pa.array(r, pa.int64())], schema=schema)
 
+    def popped(found: tuple[list[str], int, int]) -> pa.RecordBatch:
+        return emitted(pa.array([found[0]], schema.field(0).type), [found[1]], [found[2]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack: list[tuple[list[str], int, int] | None] = [None] * (max_len + 1)  # the open prefix of each depth and its totals
         for batch in batches:
-            lists = batch.column(0).to_pylist()
-            columns = [batch.column(i).to_pylist() for i in range(1, max_len + 3)]
-            for terms, n, *first in zip(lists, *columns):
-                seen = True
-                depth = 0
-                for a, b in zip(prefix, terms):
-                    if a != b:
-                        break
-                    depth += 1
-                while len(prefix) > depth:
-                    pop()
-                for term in terms[depth:]:
-                    prefix.append(term)
-                    counts.append(0)
-                    records.append(0)
-                if terms:
-                    counts[-1] += n
-                for d in range(len(terms) + 1):
-                    records[d] += first[d]
-            if len(out[0]) > 20_000:
-                yield ready()
-        while seen and counts:
-            pop()
-        if out[0]:
-            yield ready()
+            if not batch.num_rows:
+                continue
+            lists = batch.column(0)
+            lens = np.asarray(lists.value_lengths(), dtype=np.int64)
+            offsets = np.cumsum(lens) - lens
+            flat = lists.flatten()
+            code = np.asarray(flat.dictionary_encode().indices, dtype=np.int64)
+            n = np.asarray(batch.column(1), dtype=np.int64)
+            root = stack[0] or ([], 0, 0)
+            stack[0] = ([], root[1] + int(n[lens > 0].sum()), root[2] + int(np.asarray(batch.column(2), dtype=np.int64).sum()))
+            new = np.zeros(len(lens), dtype=bool)  # where a prefix of the depth before begins
+            for depth in range(1, max_len + 1):
+                has = lens >= depth
+                here = np.full(len(lens), -1, dtype=np.int64)
+                here[has] = code[offsets[has] + depth - 1]
+                new = has & (new | np.r_[True, here[1:] != here[:-1]])
+                starts = np.flatnonzero(new)
+                if not len(starts):
+                    if stack[depth]:
+                        yield popped(stack[depth])
+                        stack[depth] = None
+                    continue
+                first = np.asarray(batch.column(2 + depth), dtype=np.int64)
+                sums, records = np.add.reduceat(np.where(has, n, 0), starts), np.add.reduceat(np.where(has, first, 0), starts)
+                index = (offsets[starts][:, None] + np.arange(depth)[None, :]).ravel()
+                terms = pa.ListArray.from_arrays(pa.array(np.arange(0, len(index) + 1, depth), pa.int32()), flat.take(pa.array(index)))
+                if stack[depth]:
+                    if has[0] and terms[0].as_py() == stack[depth][0]:
+                        sums[0] += stack[depth][1]
+                        records[0] += stack[depth][2]
+                    else:
+                        yield popped(stack[depth])
+                    stack[depth] = None
+                closed = len(starts)
+                if has[-1]:  # the last prefix may go on in the next batch
+                    closed -= 1
+                    stack[depth] = (terms[closed].as_py(), int(sums[closed]), int(records[closed]))
+                if closed:
+                    yield emitted(terms.slice(0, closed), sums[:closed], records[:closed])
+        for found in stack:
+            if found:
+                yield popped(found)
 
     return run
 
@@ -135,7 +155,7 @@ def term_frequencies(records: DataFrame, terms: str, max_len: int = 1) -> DataFr
 
     ``records`` has one row per record; ``terms`` is its array of terms. The row with the empty array has the number of all terms and of
     all records. A null array is a record without terms; null elements are skipped. The empty table gives no rows. Other columns are
-    not read. Only counters travel: for ``max_len`` 1 at most one row per distinct term and batch.
+    not read. Only counters travel: for ``max_len`` 1 at most one row per distinct term and ``BLOCK`` terms, so that no term is hot.
     """
     spark = records.sparkSession
     fields = "terms array<string>, occurrences long, " + ", ".join(f"first_{d} long" for d in range(max_len + 1))

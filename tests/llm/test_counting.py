@@ -34,6 +34,19 @@ def test_ngrams(spark, max_len):
     assert got == brute_ngrams(records, max_len)
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 10_000])
+def test_stack_goes_on_over_batches(spark, size):
+    records = [["a", "b", "c"][k % 3 :] + ["a"] * (k % 4) for k in range(60)]
+    df = spark.createDataFrame([(r,) for r in records], "t array<string>").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = {tuple(r["terms"]): (r["occurrences"], r["records"]) for r in term_frequencies(df, "t", 3).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got.pop(()) == (sum(map(len, records)), 60) and got == brute_ngrams(records, 3)
+
+
 def test_marks_and_words(spark):
     df = spark.createDataFrame([(["a", "b", "b"],), (["a"],), (["a", "c"],), (None,)], "t array<string>")
     got = {r["terms"][0]: (r["occurrences"], r["records"], r["mark"]) for r in marked_frequencies(df, "t", 1, 0.5).collect()}
