@@ -12,7 +12,7 @@ until its items are placed:
 4. *Update.* Containers have smaller gaps now, and the next round begins. When no item finds a gap, new containers are opened. At first
    there are as many as the total needs at least.
 
-The driver sees one number a round, that of the items placed. The matching is the same for any number of ranges; up to ``LOCAL_ITEMS``
+The driver sees two numbers a round, those of the items placed and their sizes. The matching is the same for any number of ranges; up to ``LOCAL_ITEMS``
 items (counted) the rounds therefore run in one task, with one range, which spares their jobs.
 """
 
@@ -28,10 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orefield.session import cut_lineage, default_parallelism
+from orefield.session import cut_lineage
 
 #: Up to so many items the rounds run in one task.
 LOCAL_ITEMS = 50_000
+#: Items and slots of one range.
+RANGE_ROWS = 20_000
+#: Ranges of one sweep at most; beyond, ranges are larger.
+MOST_RANGES = 10_000
 
 
 def size_classes(capacity: int) -> Iterator[tuple[int, int]]:
@@ -132,8 +136,11 @@ def _round(left: DataFrame, containers: DataFrame, lo: int, hi: int, parts: int)
     slots = F.explode(F.sequence(zero, F.greatest(F.lit(1).cast("long"), F.floor(F.col("gap") / hi)) - 1))
     able = containers.where(F.col("gap") > lo).select(F.least("gap", F.lit(hi).cast("long")).alias("value"), F.lit(1).alias("kind"), "gap", F.col("container").alias("who"), slots.alias("slot"))
     order = ["value", "kind", "gap", "who", "slot"]
-    ranged = items.unionByName(able).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    both = items.unionByName(able)
+    ranged = (both.repartitionByRange(parts, *order) if parts > 1 else both.coalesce(1)).sortWithinPartitions(*order)
     swept = cut_lineage(ranged.mapInArrow(_sweep_range, "part int, what int, item long, size long, container long, rank long"))
+    if parts == 1:
+        return swept.where(F.col("what") == _MATCHED).select("item", "container", "size"), swept.where(F.col("what") == _FREE_ITEM).select("item", "size")
     numbers = swept.where(F.col("what") != _MATCHED).groupBy("part").agg(F.count_if(F.col("what") == _FREE_ITEM).alias("items"), F.count_if(F.col("what") == _FREE_GAP).alias("gaps"))
     meets = numbers.coalesce(1).mapInPandas(_across, "item_part int, item_from long, gap_part int, gap_from long, n long")  # at most two rows per range
     free = swept.where(F.col("what") == _FREE_ITEM).select("part", "rank", "item", "size")
@@ -155,28 +162,28 @@ def place_items(items: DataFrame, capacity: int, local_items: int = LOCAL_ITEMS,
 
         return cut_lineage(items.coalesce(1).mapInPandas(run, "item long, container long"))
     spark = items.sparkSession
-    parts = ranges or default_parallelism(spark)
     total = items.agg(F.sum("size")).first()[0]
     opened = -(-total // capacity)
     fresh = lambda first, last: spark.range(first, last).select(F.col("id").alias("container"), F.lit(capacity).cast("long").alias("gap"))
     containers = fresh(0, opened)
-    found = []
+    found, room = [], opened * capacity
     for lo, hi in size_classes(capacity):
         left = items.where((F.col("size") > lo) & (F.col("size") <= hi)).select("item", "size")
         n = left.count()
         while n:
+            parts = ranges or min(-(-(n + opened + room // hi) // RANGE_ROWS), MOST_RANGES)  # room // hi: so many slots at most
             matched, rest = _round(left, containers, lo, hi, parts)
-            placed = matched.count()
+            placed, volume = matched.agg(F.count(F.lit(1)), F.sum("size")).first()
             if not placed:
                 more = -(-n // (capacity // hi))
                 containers = cut_lineage(containers.unionByName(fresh(opened, opened + more)))
-                opened += more
+                opened, room = opened + more, room + more * capacity
                 continue
             found.append(matched)
             used = matched.groupBy("container").agg(F.sum("size").alias("used"))
             containers = containers.join(used, "container", "left").select("container", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
             containers = cut_lineage(containers.where("gap > 0"))
-            left, n = rest, n - placed
+            left, n, room = rest, n - placed, room - volume
     return reduce(DataFrame.unionByName, found).select("item", "container")
 
 
@@ -187,7 +194,7 @@ def pack(items: DataFrame, item_id: str, size: str, capacity: int, local_items:
     stay whole. ``start`` is where the part begins in the item, ``at`` where it lies in its container. Items of size 0 or null come out
     with a null container and part 0; rows with a null id are items of their own and keep it. ``item_id`` need not be unique: each row
     is an item. The empty table gives no rows. Numbers of containers need not follow each other. ``ranges``: ranges of a sweep, by
-    default the shuffle partitions of the session.
+    default one for ``RANGE_ROWS`` items and slots.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
