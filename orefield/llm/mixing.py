@@ -1,93 +1,105 @@
 """Mixing sources to target weights: hierarchical budgeting.
 
-The sources form a tree (for instance source, then language). Weights are propagated from the root. A child that cannot use its share,
-even with every repetition allowed, leaves the shortage to its siblings in proportion to their weights; only what they cannot take
+The sources form a tree (for instance domain, source, language). Weights are propagated from the root. A child that cannot use its
+share, even with every repetition allowed, leaves the shortage to its siblings in proportion to their weights; only what they cannot take
 goes up to the siblings of the parent. Each leaf then gives the prefix of its budget in tokens out of seeded epochs: whole passes
 over its items, then the first items of the next pass in the order of a seeded hash, the last of them cut to fit.
+
+Budgets are computed in tables, level by level: the children of a node, ordered by capacity for their weight, are filled like vessels up
+to one common level, which two running sums give. Nothing of the tree comes to the driver, however many leaves it has.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orefield.operators.hotkeys import hot_split_join
+from orefield.session import cut_lineage
+
 #: Order buckets of a leaf: the running sum is over buckets first, then inside the single bucket in which the budget ends.
 BUCKETS = 4096
-MAX_LEAVES = 100_000
-
-
-@dataclass
-class Node:
-    """A node of the source tree; ``capacity`` is what its leaves can give with all repetitions."""
-
-    name: str
-    weight: float = 0.0
-    size: int = 0
-    repeats: int = 1
-    children: list[Node] = field(default_factory=list)
-    budget: float = 0.0
-
-    @property
-    def capacity(self) -> float:
-        return sum(c.capacity for c in self.children) if self.children else self.size * self.repeats
-
-    def allocate(self, budget: float) -> None:
-        """Distribute ``budget`` over the subtree: weights first, shortages to siblings, never beyond capacity."""
-        self.budget = min(budget, self.capacity)
-        if not self.children:
-            return
-        given = {id(c): 0.0 for c in self.children}
-        left, active = self.budget, [c for c in self.children if c.weight > 0 and c.capacity > 0]
-        while active and left > 1e-9:
-            weights = sum(c.weight for c in active)
-            full = [c for c in active if given[id(c)] + left * c.weight / weights >= c.capacity]
-            if not full:
-                for c in active:
-                    given[id(c)] += left * c.weight / weights
-                break
-            for c in full:
-                left -= c.capacity - given[id(c)]
-                given[id(c)] = c.capacity
-                active.remove(c)
-        for c in self.children:
-            c.allocate(given[id(c)])
-
-
-def largest_total(root: Node) -> float:
-    """The largest total at which every first-level child with items reaches its share."""
-    weights = sum(c.weight for c in root.children if c.capacity > 0)
-    return min((c.capacity * weights / c.weight for c in root.children if c.weight > 0 and c.capacity > 0), default=0.0)
-
-
-def mix(items: DataFrame, item_id: str, size: str, levels: list[str], targets: DataFrame, total: int | None = None, seed: int = 0) -> DataFrame:
+#: Leaves whose budgets are broadcast.
+MAX_BROADCAST = 100_000
+
+
+def _key(levels: list[str]) -> Column:
+    return F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in levels]), {"ignoreNullFields": "false"}) if levels else F.lit("{}")
+
+
+def _nodes(leaves: DataFrame, levels: list[str], level: str, weights: dict[str, dict[str, float]]) -> list[DataFrame]:
+    """Per depth: (parent, node, weight, capacity). Weights of the level with the targets are the target shares, those above it their
+    sums, those below it the given weights (0 where a value has none) or the sizes."""
+    goal = levels.index(level)
+    share = F.col("target_share") * F.col("size") / F.sum("size").over(Window.partitionBy(F.col(level).cast("string")))  # a source under several parents
+    shared = leaves.withColumn("share", F.coalesce(share, F.lit(0.0)))
+    out = []
+    for depth in range(len(levels)):
+        given = weights.get(levels[depth])
+        if depth <= goal:
+            weight = F.sum("share")
+        elif given is None:
+            weight = F.sum("size").cast("double")
+        else:
+            table = F.create_map(*[F.lit(x) for pair in given.items() for x in pair]) if given else F.create_map().cast("map<string,double>")
+            weight = F.max(F.coalesce(F.get(F.map_values(F.map_filter(table, lambda k, v: k.eqNullSafe(F.col(levels[depth]).cast("string")))), F.lit(0)), F.lit(0.0)).cast("double"))
+        node = shared.groupBy(_key(levels[:depth]).alias("parent"), _key(levels[: depth + 1]).alias("node"))
+        out.append(node.agg(weight.alias("weight"), F.sum("capacity").cast("double").alias("capacity")).where("weight > 0 AND capacity > 0"))
+    return out
+
+
+def filled(children: DataFrame) -> DataFrame:
+    """(node, budget) for children (parent, node, weight, capacity, budget), ``budget`` that of the parent.
+
+    A child gets its capacity or its weight times the level, whichever is less. In the order of capacity for weight, the level at a child
+    is what the children before it leave of the budget, over the weights from it on; the level of the parent is the greatest at a child
+    that it does not fill.
+    """
+    ordered = Window.partitionBy("parent").orderBy(F.col("capacity") / F.col("weight"), "node")
+    whole = Window.partitionBy("parent")
+    used = F.coalesce(F.sum("capacity").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum("weight").over(ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    level = (F.least("budget", F.sum("capacity").over(whole)) - used) / rest
+    at = children.withColumn("level", level).withColumn("full", F.col("capacity") <= F.col("weight") * F.col("level"))
+    level = F.max(F.when(~F.col("full"), F.col("level"))).over(whole)
+    return at.select("node", F.when(F.col("full"), F.col("capacity")).otherwise(F.greatest(F.lit(0.0), F.col("weight") * level)).alias("budget"))
+
+
+def budgets(leaves: DataFrame, levels: list[str], level: str, weights: dict[str, dict[str, float]], total: float | None) -> DataFrame:
+    """(leaf, budget) in tokens for leaves (levels, size, target_share, max_repeats)."""
+    sized = leaves.withColumn("capacity", F.col("size") * F.coalesce("max_repeats", F.lit(0)))
+    nodes = [cut_lineage(n) for n in _nodes(sized, levels, level, weights)]
+    if total is None:  # the largest at which every node with a target and with items reaches its share
+        goal = nodes[levels.index(level)]
+        weights_of_all = goal.agg(F.sum("weight").alias("all"))
+        largest = goal.crossJoin(F.broadcast(weights_of_all)).agg(F.min(F.col("capacity") * F.col("all") / F.col("weight")).alias("budget"))
+    else:
+        largest = leaves.sparkSession.range(1).select(F.lit(float(total)).alias("budget"))
+    given = largest.select(F.lit("{}").alias("node"), "budget")
+    for children in nodes:
+        given = filled(children.join(given.withColumnRenamed("node", "parent"), "parent"))
+    return given.select(F.col("node").alias("__leaf"), "budget")
+
+
+def mix(items: DataFrame, item_id: str, size: str, levels: list[str], targets: DataFrame, total: int | None = None, seed: int = 0, level: str | None = None, weights: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """The selected items: item_id, the columns ``levels``, epoch (from 1), n_tokens and used_tokens.
 
-    ``targets``: (first level, target_share, max_repeats), a small table; deeper levels are weighted by their size. ``total`` in tokens;
-    None takes the largest total at which no source is short. An item is used in at most ``max_repeats`` epochs; the cut item at the end
-    of a leaf's budget counts as a use. Sources without target are not used, targets without items leave their share to the others.
-    Null levels are one child. Items of size 0 or null are never selected. The empty table gives no rows. Leaves are combinations of
-    ``levels``; more than ``MAX_LEAVES`` raise an error, so what the driver sees is bounded.
+    ``targets``: (``level``, target_share, max_repeats), a row per value of ``level``, by default the first of ``levels``. Levels above
+    it weigh the sum of their targets, levels below it what ``weights`` says (level: {value: weight}, no value: 0), or their size. ``total``
+    in tokens; None takes the largest total at which no source is short. An item is used in at most ``max_repeats`` epochs; the cut item
+    at the end of a leaf's budget counts as a use. Sources without target are not used, targets without items leave their share to the
+    others. Null levels are one child. Items of size 0 or null are never selected. The empty table gives no rows.
     """
-    key = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in levels]), {"ignoreNullFields": "false"})
-    base = items.select(F.col(item_id).alias("item_id"), *levels, F.col(size).cast("long").alias("n_tokens"), key.alias("__leaf")).where("n_tokens > 0 AND item_id IS NOT NULL")
-    shares = {r[0]: (float(r[1]), int(r[2])) for r in targets.select(F.col(levels[0]).cast("string"), "target_share", "max_repeats").limit(MAX_LEAVES + 1).collect()}
-    stats = base.groupBy("__leaf", *[F.col(c).cast("string").alias(c) for c in levels]).agg(F.sum("n_tokens").alias("size")).limit(MAX_LEAVES + 1).collect()
-    if max(len(stats), len(shares)) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves or targets in the source tree")
-    root, leaves = _tree(stats, levels, shares)
-    root.allocate(largest_total(root) if total is None else float(total))
-
-    spark = items.sparkSession
-    plan = []
-    for key_, leaf in leaves.items():
-        budget = round(leaf.budget)
-        whole, rest = divmod(budget, leaf.size)
-        if budget > 0:
-            plan.append((key_, int(min(whole, leaf.repeats)), int(rest) if whole < leaf.repeats else 0))
-    budgets = spark.createDataFrame(plan, "__leaf string, whole int, rest long") if plan else spark.createDataFrame([], "__leaf string, whole int, rest long")
-    rows = base.join(F.broadcast(budgets), "__leaf")
+    level = level or levels[0]
+    base = items.select(F.col(item_id).alias("item_id"), *levels, F.col(size).cast("long").alias("n_tokens"), _key(levels).alias("__leaf")).where("n_tokens > 0 AND item_id IS NOT NULL")
+    wanted = targets.select(F.col(level).cast("string").alias("__value"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("long").alias("max_repeats")).where("__value IS NOT NULL")
+    leaves = base.groupBy("__leaf", *levels).agg(F.sum("n_tokens").alias("size"))
+    leaves = cut_lineage(leaves.join(wanted, F.col(level).cast("string") == F.col("__value"), "left").drop("__value"))
+    plan = leaves.join(budgets(leaves, levels, level, weights or {}, total), "__leaf").withColumn("budget", F.round("budget").cast("long")).where("budget > 0")
+    whole = F.floor(F.col("budget") / F.col("size"))
+    plan = plan.select("__leaf", F.least(whole, "max_repeats").cast("int").alias("whole"), F.when(whole < F.col("max_repeats"), F.col("budget") - whole * F.col("size")).otherwise(0).alias("rest"))
+    plan = cut_lineage(plan)
+    rows = base.join(F.broadcast(plan), "__leaf") if plan.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else hot_split_join(base, plan, "__leaf")
     full = rows.where("whole > 0").select("item_id", *levels, F.explode(F.sequence(F.lit(1), F.col("whole"))).alias("epoch"), "n_tokens", F.col("n_tokens").alias("used_tokens"))
 
     partial = rows.where("rest > 0").withColumn("epoch", F.col("whole") + 1).withColumn("__order", F.xxhash64(F.lit(seed), "epoch", F.col("item_id").cast("string")))
@@ -105,24 +117,6 @@ def mix(items: DataFrame, item_id: str, size: str, levels: list[str], targets: D
     return full.select(columns).unionByName(inside.select(columns)).unionByName(edge.select(columns))
 
 
-def _tree(stats: list, levels: list[str], shares: dict[str, tuple[float, int]]) -> tuple[Node, dict[str, Node]]:
-    root, leaves = Node("root"), {}
-    nodes: dict[tuple, Node] = {(): root}
-    for row in stats:
-        path = tuple(row[c] for c in levels)
-        weight, repeats = shares.get(path[0], (0.0, 0))
-        for depth in range(1, len(path) + 1):
-            if path[:depth] not in nodes:
-                nodes[path[:depth]] = Node(str(path[depth - 1]), weight if depth == 1 else 0.0)
-                nodes[path[: depth - 1]].children.append(nodes[path[:depth]])
-            if depth > 1:
-                nodes[path[:depth]].weight += row["size"]
-        leaf = nodes[path]
-        leaf.size, leaf.repeats = row["size"], repeats
-        leaves[row["__leaf"]] = leaf
-    return root, leaves
-
-
 def reached_shares(selected: DataFrame, level: str, targets: DataFrame) -> DataFrame:
     """Per target: its share, the tokens and share reached, uses of items and the most uses of one item. Targets without items have 0."""
     # one row per (source, item) first, so that no source is counted in one task

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from orefield.llm.canonical import delete_keys, edit_distances, forms, map_rows, match_values
-from orefield.llm.mixing import mix, reached_shares
+from orefield.llm.mixing import filled, mix, reached_shares
 from orefield.llm.packing import pack, pack_local, place_items, sweep
 from orefield.llm.queries import LLM
 from orefield.llm.residue import PATTERNS, clean_documents, evidence_of, residue_documents
@@ -148,6 +148,51 @@ def test_pack(spark):
     assert pack(df.limit(0), "d", "part", 100).count() == 0
 
 
+def brute_fill(budget, children):
+    """[(weight, capacity)] filled round by round."""
+    given = [0.0] * len(children)
+    left = min(budget, sum(c for w, c in children if w))
+    active = [k for k, (w, c) in enumerate(children) if w and c]
+    while active and left > 1e-9:
+        weights = sum(children[k][0] for k in active)
+        full = [k for k in active if given[k] + left * children[k][0] / weights >= children[k][1]]
+        if not full:
+            for k in active:
+                given[k] += left * children[k][0] / weights
+            break
+        for k in full:
+            left -= children[k][1] - given[k]
+            given[k] = float(children[k][1])
+            active.remove(k)
+    return given
+
+
+def test_vessels_fill_to_one_level(spark):
+    rng = random.Random(5)
+    nodes = {f"p{p}": (rng.randint(0, 300), [(rng.choice([1.0, 0.5, rng.random()]), rng.randint(1, 90)) for _ in range(rng.randint(1, 7))]) for p in range(40)}
+    rows = [(p, f"{p}-{k}", w, float(c), float(b)) for p, (b, kids) in nodes.items() for k, (w, c) in enumerate(kids)]
+    got = {r.node: r.budget for r in filled(spark.createDataFrame(rows, "parent string, node string, weight double, capacity double, budget double")).collect()}
+    for p, (b, kids) in nodes.items():
+        for k, want in enumerate(brute_fill(b, kids)):
+            assert abs(got[f"{p}-{k}"] - want) < 1e-6
+
+
+def test_siblings_fill_before_ancestors(spark):
+    sizes = {("books", "a", "en"): 100, ("books", "b", "en"): 4000, ("web", "c", "en"): 4000, ("web", "c", "de"): 50, ("web", "d", "fr"): 3000}
+    rows = [(k, *path, 10) for k, path in enumerate(path for path, size in sizes.items() for _ in range(size // 10))]
+    df = spark.createDataFrame(rows, "id long, domain string, source string, lang string, n long")
+    targets = spark.createDataFrame([("a", 0.3, 2), ("b", 0.2, 1), ("c", 0.4, 1), ("d", 0.1, 1)], "source string, target_share double, max_repeats int")
+    got = Counter()
+    for r in mix(df, "id", "n", ["domain", "source", "lang"], targets, total=2000, level="source", weights={"lang": {"en": 1.0, "de": 3.0, "fr": 1.0}}).collect():
+        got[r.domain, r.source, r.lang] += r.used_tokens
+    # a can give 200 of its 600: the 400 go to b, not to the web; de can give 50 of its 600: the rest goes to en
+    assert got == {("books", "a", "en"): 200, ("books", "b", "en"): 800, ("web", "c", "en"): 750, ("web", "c", "de"): 50, ("web", "d", "fr"): 200}
+    more = Counter()
+    for r in mix(df, "id", "n", ["domain", "source", "lang"], targets, total=10_000, level="source").collect():
+        more[r.domain] += r.used_tokens
+    assert more == {"books": 4200, "web": 5800}  # books are used up, and what they lack goes to the web
+
+
 def test_mix(spark):
     rng = random.Random(6)
     rows = [(i, rng.choice(["big"] * 6 + ["mid"] * 3 + ["small"]), rng.choice(["en", "de", None]), rng.randint(1, 50)) for i in range(1500)]
