@@ -5,7 +5,7 @@
    around a comma swapped. Every step away from what was typed costs a little.
 2. *Symmetric deletes.* All strings that come from the beginning of a form by deleting up to ``max_edits`` characters are its keys; the
    same keys of the reference names form the dictionary. Two strings within ``max_edits`` edits share a key. The dictionary is broadcast
-   if the list is within ``max_broadcast`` entries (counted), and joined by shuffle beyond.
+   if it has at most ``max_broadcast`` rows (counted), and joined by shuffle beyond.
 3. *Ranking.* Candidates within ``max_edits`` edits (fewer for short names) are ranked by a weighted Damerau-Levenshtein distance, in
    which look-alikes, doubled letters and swapped neighbours cost less; then by how often the reference name itself occurs in the
    data, then by id. Values without a candidate are reported as unmatched.
@@ -17,6 +17,7 @@ import math
 import re
 import unicodedata
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orefield.operators.hotkeys import hot_split_join
+from orefield.operators.hotkeys import bounded_broadcast, hot_split_join
 from orefield.session import cut_lineage, default_parallelism
 
 #: Common abbreviations in place names.
@@ -162,7 +163,7 @@ def allowed_edits(length: int, max_edits: int) -> int:
     return 0 if length <= 2 else min(max_edits, 1) if length <= 5 else max_edits
 
 
-def match_values(values: DataFrame, value: str, reference: DataFrame, ref_id: str, ref_name: str, aliases: list[str] = (), max_edits: int = 2, rules: FormRules = FormRules(), max_broadcast: int = 50_000) -> DataFrame:
+def match_values(values: DataFrame, value: str, reference: DataFrame, ref_id: str, ref_name: str, aliases: list[str] = (), max_edits: int = 2, rules: FormRules = FormRules(), max_broadcast: int = 300_000) -> DataFrame:
     """One row per distinct non-null value: (value, n, ref_id, distance); ref_id is null if the value means no entry.
 
     ``reference`` has an integer id, a name and maybe alias columns (null where there is none); entries with a null name or id are
@@ -182,31 +183,30 @@ def match_values(values: DataFrame, value: str, reference: DataFrame, ref_id: st
     def reference_form(names: pd.Series) -> pd.Series:
         return names.map(lambda t: squeeze(plain(t)))
 
-    @F.pandas_udf("double")
-    def distance(typed: pd.Series, name: pd.Series) -> pd.Series:
-        def one(a: str, b: str) -> float | None:
-            found = edit_distances(a, b, allowed_edits(min(len(a), len(b)), max_edits))
-            return None if found is None else found[1]
-
-        return pd.Series([one(a, b) for a, b in zip(typed, name)], dtype="float64")
+    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # an iterator, not a function of columns: the filter on the distance would have the optimiser evaluate that several times
+        for frame in frames:
+            found = [edit_distances(a, b, allowed_edits(min(len(a), len(b)), max_edits)) for a, b in zip(frame["form"], frame["name_form"])]
+            keep = [f is not None for f in found]
+            out = frame.loc[keep, ["value", "ref_id", "freq"]]
+            yield out.assign(score=[round(f[1] + c, 6) for f, c, k in zip(found, frame["cost"], keep) if k])
 
     distinct = cut_lineage(values.select(F.col(value).cast("string").alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("n")))
     names = F.array(*[F.col(c).cast("string") for c in [ref_name, *aliases]])
     listed = reference.where(F.col(ref_id).isNotNull()).select(F.col(ref_id).alias("ref_id"), F.col(ref_name).cast("string").alias("ref_name"), F.explode(names).alias("name")).where("name IS NOT NULL AND trim(name) <> ''")
     typed_right = distinct.select(F.col("value").alias("ref_name"), F.col("n").alias("freq"))
-    small = listed.limit(max_broadcast + 1).count() <= max_broadcast
-    hint = F.broadcast if small else (lambda df: df)
-    entries = typed_right.join(hint(listed), "ref_name", "right").select("ref_id", F.coalesce("freq", F.lit(0)).alias("freq"), reference_form("name").alias("name_form"))
+    freqs = typed_right.join(bounded_broadcast(listed.select("ref_name").distinct(), max_broadcast), "ref_name", "left_semi")  # no more rows than names
+    entries = listed.join(bounded_broadcast(freqs, max_broadcast), "ref_name", "left").select("ref_id", F.coalesce("freq", F.lit(0)).alias("freq"), reference_form("name").alias("name_form"))
     dictionary = entries.where("name_form <> ''").select("ref_id", "freq", "name_form", F.explode(reference_keys("name_form")).alias("key"))
     dictionary = cut_lineage(dictionary)
 
     # few bytes, much work per value: spread over all cores, not by file size
     spread = distinct.repartition(default_parallelism(distinct.sparkSession), "value")
     looked_up = spread.select("value", F.explode(keyed_forms("value")).alias("f")).select("value", "f.form", "f.cost", F.explode("f.keys").alias("key"))
-    candidates = looked_up.join(hint(dictionary), "key").select("value", "form", "cost", "ref_id", "freq", "name_form").distinct()
-    scored = candidates.withColumn("distance", distance("form", "name_form")).where("distance IS NOT NULL AND NOT isnan(distance)")
-    score = F.struct(F.round(F.col("distance") + F.col("cost"), 6).alias("distance"), (-F.col("freq")).alias("freq"), "ref_id")
-    best = scored.groupBy("value").agg(F.min(score).alias("best")).select("value", F.col("best.ref_id").alias("ref_id"), F.col("best.distance").alias("distance"))
+    candidates = looked_up.join(bounded_broadcast(dictionary, max_broadcast), "key").select("value", "form", "cost", "ref_id", "freq", "name_form").distinct()
+    kind = dictionary.schema["ref_id"].dataType.simpleString()
+    near = candidates.mapInPandas(scored, f"value string, ref_id {kind}, freq long, score double")
+    best = near.groupBy("value").agg(F.min(F.struct("score", (-F.col("freq")).alias("freq"), "ref_id")).alias("best")).select("value", F.col("best.ref_id").alias("ref_id"), F.col("best.score").alias("distance"))
     return distinct.join(best, "value", "left").select("value", "n", "ref_id", "distance")
 
 
