@@ -41,6 +41,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+@LLM.add(
+    "p1_text_marks",
+    r"""
+    WITH r AS (SELECT review_id, any_value(text) AS text FROM review WHERE review_id IS NOT NULL GROUP BY 1),
+    t AS (SELECT review_id, unnest(list_filter(string_split_regex(translate(lower(text), '([,.!?:;])', ''), '[ \t\n\r]+'), lambda x: x <> '')) AS term FROM r),
+    n AS (SELECT term, count(DISTINCT review_id) AS k FROM t GROUP BY 1)
+    SELECT term, CASE WHEN k <= 2 THEN 'rare' ELSE 'common' END AS mark FROM n WHERE k <= 2 OR k > 0.22 * (SELECT count(*) FROM r)
+    """,
+)
+def p1_text_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words among ``p1_found``."""
+    return p1_found(spark, sf_dir).where("field = 'text'").select("term", "mark")
+
+
 _WORDS = r"""
     r AS (SELECT review_id, any_value(text) AS text FROM review WHERE review_id IS NOT NULL GROUP BY 1),
     w AS (SELECT review_id, list_filter(string_split_regex(translate(lower(text), '([,.!?:;])', ''), '[ \t\n\r]+'), lambda x: x <> '') AS terms FROM r)

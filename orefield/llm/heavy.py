@@ -28,7 +28,7 @@ def iceberg(items: DataFrame, item: str, support: float, hashes: int = 3, bucket
     """
     if buckets * support < 4:
         raise ValueError("too few buckets for this support: buckets * support must be at least 4")
-    column = items.select(F.col(item).cast("string").alias("item")).where(F.col("item").isNotNull())
+    column = cut_lineage(items.select(F.col(item).cast("string").alias("item")).where(F.col("item").isNotNull()))  # both passes read it
     keys = F.array(*[F.struct(F.lit(h).alias("h"), b.alias("b")) for h, b in enumerate(_buckets(hashes, buckets))])
     coarse = column.select(F.explode(keys).alias("k")).groupBy("k.h", "k.b").agg(F.count(F.lit(1)).alias("c"))
     coarse = cut_lineage(coarse)  # hashes * buckets rows at most

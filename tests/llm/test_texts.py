@@ -1,10 +1,12 @@
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
 from orefield.llm.canonical import delete_keys, edit_distances, forms, map_rows, match_values
@@ -330,6 +332,14 @@ def test_subtraction_decides(spark):
     assert got[0.2] == {100, 101} and got[1.0] == {*range(20), 100, 101}
 
 
+def test_vocabulary_comes_with_the_job(spark, tmp_path):
+    path = tmp_path / "small.tiktoken"
+    path.write_bytes(Path(VOCABULARY).read_bytes())
+    counted = spark.createDataFrame([("Hello world",)], "t string").select(token_count(F.col("t"), str(path)).alias("n"))
+    assert counted.first().n == len(encoder(VOCABULARY).encode_ordinary("Hello world"))
+    assert Path(SparkFiles.get(path.name)).read_bytes() == path.read_bytes()
+
+
 def test_tokens(spark):
     texts = ["Hello  world", "", None, "Größe 😀\n\n x" * 50]
     got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select(token_count(F.col("t")).alias("n")).collect()]
