@@ -8,7 +8,7 @@ from orefield.functions.hashing import coefficients
 from orefield.functions.text import now_text
 from orefield.operators.reservoir import reservoir
 from orefield.operators.sketches import fm_windows
-from orefield.session import ensure_checkpoint_dir
+from orefield.session import ensure_checkpoint_dir, reused
 from orefield.sources import readers, writers
 from orefield.sources.tables import latest_by
 from orefield.streaming.pipelines import run_to_end, stream_fm, stream_reservoir, top_tags_sink
@@ -55,6 +55,14 @@ def test_writers(spark, tmp_path):
     assert lines(tmp_path / "csv")[0] == "i,f"
 
 
+def test_kept_tables_are_given_back(spark):
+    df = spark.range(100).withColumn("x", F.col("id") * 2)
+    with reused(df) as kept:
+        assert kept.count() == kept.where("x >= 0").count() == 100
+        assert kept.storageLevel.useMemory and kept.storageLevel.useDisk
+    assert not df.storageLevel.useMemory
+
+
 def test_order_of_text_files(spark, tmp_path):
     df = spark.createDataFrame([(k * 37 % 101, f"line {k * 37 % 101:03d}") for k in range(101)], "place int, value string").repartition(7)
     writers.text_file(df, str(tmp_path / "t"))
