@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orefield.operators.meeting import meet, rare_part, shared_counts, sized_tokens
-from orefield.session import cut_lineage
+from orefield.session import cut_lineage, default_parallelism
 
 
 def cooccurrence_edges(pairs: DataFrame, node: str, item: str, at_least: int) -> DataFrame:
@@ -84,10 +84,12 @@ def _united(parts: list[DataFrame]) -> list[DataFrame]:
     return [cut_lineage(reduce(DataFrame.unionByName, parts))] if len(parts) > LEVELS else parts
 
 
-def shortest_paths(edges: DataFrame) -> DataFrame:
-    """(root, node, dist, sigma): distances and numbers of shortest paths from every node, level by level until nothing new is reached."""
+def shortest_paths(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(root, node, dist, sigma): distances and numbers of shortest paths from every node, or from ``roots`` (node), level by level until
+    nothing new is reached."""
     edges = cut_lineage(edges)
-    frontier = cut_lineage(vertices(edges).select(F.col("node").alias("root"), "node", F.lit(0).alias("dist"), F.lit(1.0).alias("sigma")))
+    starts = vertices(edges) if roots is None else roots.select("node")
+    frontier = cut_lineage(starts.select(F.col("node").alias("root"), "node", F.lit(0).alias("dist"), F.lit(1.0).alias("sigma")))
     seen, depth = [frontier], 0
     while not frontier.isEmpty():
         depth += 1
@@ -98,20 +100,26 @@ def shortest_paths(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, seen)
 
 
-def edge_betweenness(edges: DataFrame) -> DataFrame:
-    """(u, v, betweenness), u < v: credit of shortest paths over each edge, every unordered pair of nodes counted once.
+#: Up to so many edges (counted) the graph goes to every task, which walks from its share of the roots; the divisive loop runs in one
+#: task, since a cut there takes less than the jobs of a cut over tables.
+LOCAL_EDGES = 10_000
+#: Roots whose paths are held in tables at a time.
+ROOTS = 5_000
+
+
+def _flows(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v, flow): what the shortest paths from ``roots`` send over each edge, over tables.
 
     Credit flows back level by level, for all roots at once: a node passes its credit on to its predecessors in proportion to their
     numbers of paths.
     """
-    edges = cut_lineage(edges)
-    paths = cut_lineage(shortest_paths(edges))
+    paths = cut_lineage(shortest_paths(edges, roots))
     deepest = paths.agg(F.max("dist")).first()[0] or 0
     up = paths.select("root", F.col("node").alias("src"), F.col("dist").alias("up_dist"), F.col("sigma").alias("up_sigma"))
     down = paths.select("root", F.col("node").alias("dst"), "dist", "sigma")
     arcs = cut_lineage(up.join(edges, "src").join(down, ["root", "dst"]).where("dist = up_dist + 1").select("root", "src", "dst", "dist", (F.col("up_sigma") / F.col("sigma")).alias("part")))
     credit = None  # (root, node, credit) of what has come from below
-    flows = []
+    flows: list[DataFrame] = []
     for depth in range(deepest, 0, -1):
         level = arcs.where(F.col("dist") == depth)
         if credit is not None:
@@ -122,13 +130,41 @@ def edge_betweenness(edges: DataFrame) -> DataFrame:
         flows = _united([*flows, flow])
         credit = flow.groupBy(F.col("root").alias("croot"), F.col("src").alias("node")).agg(F.sum("flow").alias("credit"))
     if not flows:
-        return edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(0.0).alias("betweenness")).limit(0)
-    return reduce(DataFrame.unionByName, flows).groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.round(F.sum("flow") / 2, 9).alias("betweenness"))
+        return edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(0.0).alias("flow")).limit(0)
+    return cut_lineage(reduce(DataFrame.unionByName, flows).groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.sum("flow").alias("flow")))
+
 
+def edge_betweenness(edges: DataFrame, local_edges: int = LOCAL_EDGES, roots: int = ROOTS) -> DataFrame:
+    """(u, v, betweenness), u < v: credit of shortest paths over each edge, every unordered pair of nodes counted once.
 
-def top_edge(edges: DataFrame) -> DataFrame:
+    Up to ``local_edges`` edges every task walks from its share of the nodes; beyond, the paths are held in tables, of ``roots`` nodes at a
+    time, so that no table has a row for every two nodes of the graph.
+    """
+    edges = cut_lineage(edges)
+    spark = edges.sparkSession
+    nodes = vertices(edges)
+    known = edges.limit(2 * local_edges + 1).collect() if local_edges else []
+    if known and len(known) <= 2 * local_edges:
+        kind = edges.schema["src"].dataType.simpleString()
+        pairs = spark.sparkContext.broadcast([(r["src"], r["dst"]) for r in known])
+
+        def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            adjacent = _adjacent(pairs.value)
+            found = _walk_flows(adjacent, [n for frame in frames for n in frame["node"]])
+            if found:
+                yield pd.DataFrame([(u, v, f) for (u, v), f in found.items()], columns=["u", "v", "flow"])
+
+        every = nodes.repartition(default_parallelism(spark), "node").mapInPandas(walk, f"u {kind}, v {kind}, flow double")
+    else:
+        nodes = cut_lineage(nodes)
+        batches = max(1, -(-nodes.count() // roots))
+        every = reduce(DataFrame.unionByName, [_flows(edges, nodes.where(F.pmod(F.xxhash64("node"), F.lit(batches)) == k)) for k in range(batches)])
+    return every.groupBy("u", "v").agg(F.round(F.sum("flow") / 2, 9).alias("betweenness"))
+
+
+def top_edge(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """The edge (u, v, betweenness) of highest betweenness, the smaller one on ties; no row without edges."""
-    return edge_betweenness(edges).orderBy(F.desc("betweenness"), "u", "v").limit(1)
+    return edge_betweenness(edges, local_edges).orderBy(F.desc("betweenness"), "u", "v").limit(1)
 
 
 def without_edge(edges: DataFrame, u, v) -> DataFrame:
@@ -147,10 +183,17 @@ def modularity(edges: DataFrame, membership: DataFrame) -> float:
     return round(q, 4) if q is not None else 0.0
 
 
-def _edge_credits(adjacent: dict, part: set) -> dict:
-    """Betweenness (u, v), u < v, of the edges of one component, rounded as in ``edge_betweenness``."""
+def _adjacent(pairs: list[tuple]) -> dict:
+    adjacent: dict = {}
+    for x, y in pairs:
+        adjacent.setdefault(x, set()).add(y)
+    return adjacent
+
+
+def _walk_flows(adjacent: dict, roots) -> dict:
+    """What the shortest paths from ``roots`` send over each edge (u, v), u < v, in memory."""
     total: dict = {}
-    for root in part:
+    for root in roots:
         dist, sigma, order, before = {root: 0}, {root: 1.0}, [root], {root: []}
         for x in order:  # grows while it is read: breadth first
             for y in adjacent[x]:
@@ -167,7 +210,12 @@ def _edge_credits(adjacent: dict, part: set) -> dict:
                 credit[x] += flow
                 edge = (x, y) if x < y else (y, x)
                 total[edge] = total.get(edge, 0.0) + flow
-    return {edge: round(flow / 2, 9) for edge, flow in total.items()}
+    return total
+
+
+def _edge_credits(adjacent: dict, part: set) -> dict:
+    """Betweenness (u, v), u < v, of the edges of one component, rounded as in ``edge_betweenness``."""
+    return {edge: round(flow / 2, 9) for edge, flow in _walk_flows(adjacent, part).items()}
 
 
 def _reached(adjacent: dict, start) -> set:
@@ -185,9 +233,7 @@ def _divide(pairs: list[tuple], max_cuts: int | None, slack: float) -> tuple[dic
 
     A cut changes the betweenness of its own component only, and the score only if the component falls apart.
     """
-    adjacent: dict = {}
-    for x, y in pairs:
-        adjacent.setdefault(x, set()).add(y)
+    adjacent = _adjacent(pairs)
     degree = {x: len(near) for x, near in adjacent.items()}
     original = {x: frozenset(near) for x, near in adjacent.items()}
     every = sum(degree.values())
@@ -224,10 +270,6 @@ def _divide(pairs: list[tuple], max_cuts: int | None, slack: float) -> tuple[dic
     return best, best_score
 
 
-#: Up to so many edges the divisive loop runs in one task; a cut there takes less than the jobs of a cut over tables.
-LOCAL_EDGES = 10_000
-
-
 def girvan_newman(edges: DataFrame, max_cuts: int | None = None, slack: float = 0.1, local_edges: int = LOCAL_EDGES) -> tuple[DataFrame, float]:
     """Communities of greatest modularity found by cutting the edge of highest betweenness again and again: ((node, component), modularity).
 
@@ -256,7 +298,7 @@ def girvan_newman(edges: DataFrame, max_cuts: int | None = None, slack: float =
         if current.isEmpty():
             break
         cuts += 1
-        top = top_edge(current).first()
+        top = top_edge(current, local_edges).first()
         current = cut_lineage(without_edge(current, top["u"], top["v"]))
         parts = components(current, nodes)
         score = modularity(original, parts)

@@ -48,9 +48,11 @@ TWO_TRIANGLES = [("a", "b"), ("b", "c"), ("a", "c"), ("d", "e"), ("e", "f"), ("d
 
 @pytest.mark.parametrize("edges", [TWO_TRIANGLES, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a")]])
 def test_betweenness(spark, edges):
-    got = {(r.u, r.v): r.betweenness for r in graph.edge_betweenness(both(spark, edges)).collect()}
     expected = brute_betweenness(edges)
-    assert set(got) == set(expected) and all(math.isclose(got[e], expected[e], abs_tol=1e-9) for e in got)
+    for options in ({}, {"local_edges": 0}, {"local_edges": 0, "roots": 3}):
+        got = {(r.u, r.v): r.betweenness for r in graph.edge_betweenness(both(spark, edges), **options).collect()}
+        assert set(got) == set(expected) and all(math.isclose(got[e], expected[e], abs_tol=1e-9) for e in got)
+    assert graph.edge_betweenness(both(spark, edges).limit(0)).count() == 0
 
 
 def test_communities(spark):
