@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orefield.operators.hotkeys import bounded_broadcast, hot_split_join
+from orefield.operators.hotkeys import hot_split_join
+from orefield.session import cut_lineage
 
 #: Rows of one side of a self-join that meet in one place; a key with more is split over several.
 BUCKET = 4096
@@ -41,17 +42,24 @@ def meet(rows: DataFrame, keys: list[str], bucket: int = BUCKET) -> DataFrame:
     A key with more than ``bucket`` rows is split: on one side its rows are spread over parts by hash, on the other they are repeated
     for every part, so no task pairs more than ``bucket`` rows with the rows of a key. Nothing is dropped.
     """
+    rows = cut_lineage(rows)
     rest = [c for c in rows.columns if c not in keys]
-    packed = rows.select(F.struct(*keys).alias("__key"), F.struct(*rest).alias("__row"))
-    hot = packed.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > bucket).select("__key", F.ceil(F.col("__n") / bucket).cast("int").alias("__parts"))
-    hinted = bounded_broadcast(hot, SPLIT_KEYS)
-    if hinted is hot:
-        split = hot_split_join(packed, hot, "__key").unionByName(packed.join(hot, "__key", "left_anti").withColumn("__parts", F.lit(1)))
+    hot = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > bucket).select(*keys, F.ceil(F.col("__n") / bucket).cast("int").alias("__parts")))
+    n_hot = hot.limit(SPLIT_KEYS + 1).count()
+    side = lambda df, name, *more: df.select(*keys, *more, *[F.col(c).alias(f"__{name}_{c}") for c in rest])
+    if not n_hot:
+        met = side(rows, "a").join(side(rows, "b"), keys)
     else:
-        split = packed.join(hinted, "__key", "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
-    left = split.select("__key", F.pmod(F.xxhash64("__row"), F.col("__parts")).cast("int").alias("__part"), F.col("__row").alias("a"))
-    right = split.select("__key", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"), F.col("__row").alias("b"))
-    return left.join(right, ["__key", "__part"]).select("__key.*", "a", "b")
+        if n_hot <= SPLIT_KEYS:
+            split = rows.join(F.broadcast(hot), keys, "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
+        else:
+            keyed = lambda df: df.withColumn("__key", F.struct(*keys))
+            split = hot_split_join(keyed(rows), keyed(hot).select("__key", "__parts"), "__key").drop("__key")
+            split = split.unionByName(rows.join(hot, keys, "left_anti").withColumn("__parts", F.lit(1)))
+        left = side(split, "a", F.pmod(F.xxhash64(*rest), F.col("__parts")).cast("int").alias("__part"))
+        right = side(split, "b", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"))
+        met = left.join(right, [*keys, "__part"])
+    return met.select(*keys, *[F.struct(*[F.col(f"__{name}_{c}").alias(c) for c in rest]).alias(name) for name in "ab"])
 
 
 def shared_counts(pairs: DataFrame, tokens: DataFrame, slice_rows: int = SLICE) -> DataFrame:
@@ -68,6 +76,6 @@ def shared_counts(pairs: DataFrame, tokens: DataFrame, slice_rows: int = SLICE)
 
 def sized_tokens(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """(record, n, token, df) of the records in ``sizes`` (record, n); tokens of a single record pair nothing and are left out."""
-    tokens = hot_split_join(rows, sizes, "record")
+    tokens = cut_lineage(hot_split_join(rows, sizes, "record"))
     spread = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     return hot_split_join(tokens, spread, "token").select("record", "n", "token", "df")
