@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.functions.text import hashtag_texts, strip
+from orefield.functions.text import hashtag_texts, now_text, strip
 from orefield.operators import explore
 from orefield.plans.registry import CORE
+from orefield.session import reused
 from orefield.sources.tables import table
 
 YEAR, TOP_USERS, TOP_WORDS, TOP_CATEGORIES, MORE_THAN, PARTITIONS = "2018", 20, 30, 25, 40, 12
@@ -150,3 +153,32 @@ def partition_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviews = _review(spark, sf_dir).select("business_id")
     default = explore.partition_sizes(reviews).select(F.lit("scan").alias("layout"), "partition", "n")
     return default.unionByName(explore.partition_sizes(reviews, PARTITIONS, "business_id").select(F.lit("hashed").alias("layout"), "partition", "n"))
+
+
+#: Parts of the layout by a partition function of the caller's.
+PARTS = 7
+
+
+def md5_number(key: str) -> int:
+    """The partition function: the first eight hex digits of the md5 of the key."""
+    return int(hashlib.md5(key.encode()).hexdigest()[:8], 16)
+
+
+@CORE.add("partition_function", f"WITH n AS (SELECT CASE WHEN business_id IS NULL THEN 0 ELSE CAST('0x' || substr(md5(business_id), 1, 8) AS BIGINT) % {PARTS} END AS p, count(*) AS n FROM review GROUP BY 1) SELECT CAST(i AS INTEGER) AS partition, coalesce(n, 0) AS n FROM range({PARTS}) AS r(i) LEFT JOIN n ON p = i")
+def partition_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews in each partition of a function of the business."""
+    return explore.layout(explore.partition_by(table(spark, sf_dir, "review").select("business_id"), "business_id", PARTS, md5_number))
+
+
+@CORE.add("kept_counts", "SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_users FROM review WHERE stars >= 4")
+def kept_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two counts over a table that is kept between them."""
+    with reused(table(spark, sf_dir, "review").where("stars >= 4").select("user_id")) as kept:
+        rows, users = kept.count(), kept.agg(F.count_distinct("user_id")).first()[0]
+    return spark.createDataFrame([(rows, users)], "n_rows long, n_users long")
+
+
+@CORE.add("now_length", "SELECT CAST(length(strftime(now(), '%Y-%m-%d %H:%M:%S')) AS INTEGER) AS n")
+def now_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The formatted time has as many characters as its pattern."""
+    return spark.range(1).select(F.length(now_text()).alias("n"))

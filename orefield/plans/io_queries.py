@@ -15,6 +15,7 @@ from orefield.plans.registry import CORE
 from orefield.session import ensure_checkpoint_dir
 from orefield.sources import readers, writers
 from orefield.sources.tables import table
+from orefield.streaming import pipelines
 
 
 def _folder(spark: SparkSession) -> str:
@@ -142,10 +143,29 @@ def stream_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CORE.add("boxed_stream", "SELECT count(*) AS n FROM events WHERE event_id % 360 - 180 BETWEEN -100 AND 50 AND event_id % 180 - 90 BETWEEN -30 AND 60")
 def boxed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with made coordinates, landed as JSON lines and streamed through the bounding box."""
-    from orefield.streaming.pipelines import run_to_end
-
     path = _folder(spark)
     place = F.struct((F.col("event_id") % 360 - 180).cast("double").alias("lon"), (F.col("event_id") % 180 - 90).cast("double").alias("lat"))
     writers.json_lines(table(spark, sf_dir, "events").select("event_id", place.alias("coordinates")), path)
     stream = readers.boxed_stream(spark, path, "event_id LONG, coordinates STRUCT<lon: DOUBLE, lat: DOUBLE>", west=-100.0, south=-30.0, east=50.0, north=60.0)
-    return run_to_end(stream, f"box_{uuid.uuid4().hex}", "append").agg(F.count(F.lit(1)).alias("n"))
+    return pipelines.run_to_end(stream, f"box_{uuid.uuid4().hex}", "append").agg(F.count(F.lit(1)).alias("n"))
+
+
+@CORE.add(
+    "stream_reports",
+    f"""WITH e AS (SELECT event_id + 1 AS n, event_type FROM events),
+    q AS (SELECT *, {mq._HEX.format(parts=f"'{mq.SEED}-a-', n")} % n + 1 AS r1, {mq._HEX.format(parts=f"'{mq.SEED}-b-', n")} % {mq.RESERVOIR} + 1 AS r2 FROM e),
+    v AS (SELECT *, CASE WHEN n <= {mq.RESERVOIR} THEN n WHEN r1 <= {mq.RESERVOIR} THEN r2 END AS slot FROM q),
+    k AS (SELECT tag, count(*) AS n FROM (SELECT slot, arg_max(event_type, n) AS tag FROM v WHERE slot IS NOT NULL GROUP BY 1) GROUP BY 1)
+    SELECT tag, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, dense_rank() OVER (ORDER BY n DESC) AS rank FROM k) WHERE rank <= 3""",
+)
+def stream_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report a stream writes after its last micro-batch: the most frequent types in the reservoir."""
+    path = _folder(spark)
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").select((F.col("event_id") + 1).alias("n"), F.array("event_type").alias("tags"))
+    sample = pipelines.stream_reservoir(events, "n", "tags", mq.RESERVOIR, mq.SEED)
+    query = sample.writeStream.foreachBatch(pipelines.top_tags_sink(f"{path}/out", "item")).outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = spark.read.schema("tag string, n long, rank int, batch int").json(f"{path}/out")
+    last = found.agg(F.max("batch").alias("batch"))
+    return found.join(F.broadcast(last), "batch").select("tag", "n", "rank")
