@@ -93,14 +93,19 @@ def modularity_lpa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(graph.modularity(e, labels),)], "modularity double")
 
 
-def _paths_sql() -> str:
-    steps = [_edges_sql(SHARED), "f0 AS (SELECT DISTINCT src AS root, src AS node, 0 AS dist, 1.0::DOUBLE AS sigma FROM e)", "s0 AS (SELECT * FROM f0)"]
+def _levels_sql() -> str:
+    """Shortest paths over the edges ``e``, level by level."""
+    steps = ["f0 AS (SELECT DISTINCT src AS root, src AS node, 0 AS dist, 1.0::DOUBLE AS sigma FROM e)", "s0 AS (SELECT * FROM f0)"]
     for d in range(1, DEPTH + 1):
         steps.append(f"f{d} AS (SELECT f.root, e.dst AS node, {d} AS dist, sum(f.sigma) AS sigma FROM f{d - 1} f JOIN e ON f.node = e.src WHERE NOT EXISTS (SELECT 1 FROM s{d - 1} s WHERE s.root = f.root AND s.node = e.dst) GROUP BY 1, 2)")
         steps.append(f"s{d} AS (SELECT * FROM s{d - 1} UNION ALL SELECT * FROM f{d})")
     return ", ".join(steps)
 
 
+def _paths_sql(t: int = SHARED) -> str:
+    return f"{_edges_sql(t)}, {_levels_sql()}"
+
+
 @CORE.add("shortest_paths", f"WITH {_paths_sql()} SELECT root, node, dist, sigma FROM s{DEPTH}")
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shortest_paths(edges(spark, sf_dir))
@@ -120,7 +125,7 @@ def edge_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOP = f"""
-    WITH RECURSIVE {_paths_sql().replace(_edges_sql(SHARED), _edges_sql(SHARED_CUT))}, w AS (SELECT * FROM s{DEPTH}),
+    WITH RECURSIVE {_paths_sql(SHARED_CUT)}, w AS (SELECT * FROM s{DEPTH}),
     top AS (SELECT h.u, h.v, round(sum(a.sigma * b.sigma / t.sigma), 6) AS betweenness
             FROM h JOIN w a ON a.node = h.u JOIN w b ON b.root = h.v JOIN w t ON t.root = a.root AND t.node = b.node AND t.dist = a.dist + 1 + b.dist
             GROUP BY 1, 2 ORDER BY betweenness DESC, u, v LIMIT 1)
@@ -147,8 +152,32 @@ def components_after_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(graph.without_edge(e, top["u"], top["v"]) if top else e, graph.vertices(e))
 
 
-@CORE.add("girvan_newman")
+#: The edges that are left after each cut, the components they leave, and the score of those on the graph as it was.
+_CUTS = f"""
+    WITH RECURSIVE {_edges_sql(SHARED_CUT)},
+    cuts AS (
+      SELECT 0 AS step, (SELECT list({{'u': u, 'v': v}}) FROM h) AS es
+      UNION ALL
+      (WITH cur AS MATERIALIZED (SELECT step, unnest(es) AS e FROM cuts), h AS MATERIALIZED (SELECT e.u AS u, e.v AS v FROM cur), e AS MATERIALIZED (SELECT u AS src, v AS dst FROM h UNION ALL SELECT v, u FROM h),
+       {_levels_sql()}, w AS MATERIALIZED (SELECT * FROM s{DEPTH}),
+       top AS (SELECT h.u, h.v, round(sum(a.sigma * b.sigma / t.sigma), 9) AS betweenness
+               FROM h JOIN w a ON a.node = h.u JOIN w b ON b.root = h.v JOIN w t ON t.root = a.root AND t.node = b.node AND t.dist = a.dist + 1 + b.dist
+               GROUP BY 1, 2 ORDER BY betweenness DESC, u, v LIMIT 1)
+       SELECT any_value(step) + 1, list(cur.e) FILTER (WHERE NOT (cur.e.u = top.u AND cur.e.v = top.v)) FROM cur, top HAVING count(*) > 0)),
+    nodes AS (SELECT DISTINCT src AS node FROM e),
+    arcs AS (SELECT step, x.u AS src, x.v AS dst FROM (SELECT step, unnest(es) AS x FROM cuts) UNION ALL SELECT step, x.v, x.u FROM (SELECT step, unnest(es) AS x FROM cuts)),
+    reach AS (SELECT step, node AS root, node FROM (SELECT step FROM cuts) c, nodes UNION SELECT r.step, r.root, a.dst FROM reach r JOIN arcs a ON a.step = r.step AND a.src = r.node),
+    parts AS (SELECT step, node, min(root) AS component FROM reach WHERE step > 0 GROUP BY 1, 2),
+    tagged AS (SELECT a.step, a.component AS c, CAST(a.component = b.component AS INTEGER) AS i FROM e JOIN parts a ON e.src = a.node JOIN parts b ON e.dst = b.node AND a.step = b.step),
+    per AS (SELECT step, c, sum(i) AS inside, count(*) AS degree FROM tagged GROUP BY 1, 2),
+    scores AS (SELECT step, round(sum(inside / (SELECT count(*) FROM e) - pow(degree / (SELECT count(*) FROM e), 2)), 4) AS score, count(*) AS n FROM per GROUP BY 1),
+    marked AS (SELECT *, score < max(score) OVER (ORDER BY step) - 0.1 OR n = (SELECT count(*) FROM nodes) AS stops FROM scores),
+    best AS (SELECT step, score FROM marked WHERE step <= coalesce((SELECT min(step) FROM marked WHERE stops), (SELECT max(step) FROM marked)) ORDER BY score DESC, step DESC LIMIT 1)
+"""
+
+
+@CORE.add("girvan_newman", f"{_CUTS} SELECT node, component, score AS modularity FROM parts JOIN best USING (step)")
 def girvan_newman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of greatest modularity; iterative, so without SQL."""
+    """Communities of greatest modularity."""
     best, score = graph.girvan_newman(edges(spark, sf_dir, SHARED_CUT))
     return best.withColumn("modularity", F.lit(score))
