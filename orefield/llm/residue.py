@@ -142,6 +142,10 @@ PATTERNS: dict[str, list[tuple[str, str]]] = {
 }
 
 _WORDS = re.compile(r"[^\s\d,.;:!?()\[\]{}\"“”«»*•|/][^\s,.;:!?()\[\]{}\"“”«»*•|/]*")
+#: Words and the marks that end a phrase.
+_TOKENS = re.compile(_WORDS.pattern + r"|[.!?:;\"“”«»()\[\]|]")
+_ENDS = frozenset('.!?:;"“”«»()[]|')
+_STOPS = FUNCTION | _ENDS
 #: Words in a row of which no one is a function word: a run at least so long may be filler.
 RUN = 5
 _CHUNKS = re.compile(r"[.!?:;\"“”«»()\[\]|]|\s[-–•*]\s")
@@ -281,9 +285,10 @@ def scan_text(text: str) -> tuple[list[bytes], list[dict], list[str], list[str]]
     """
     lower = text.lower()
     tried = _tried(lower)
-    words = _WORDS.findall(lower)
+    tokens = _TOKENS.findall(lower)
+    words = [t for t in tokens if t not in _ENDS]
     doubled = any(map(eq, words, words[1:]))
-    naked = bytes(4 if any(seed in lower for seed in SEEDS) else RUN) in bytes(map(FUNCTION.__contains__, words))
+    naked = bytes(4 if any(seed in lower for seed in SEEDS) else RUN) in bytes(map(_STOPS.__contains__, tokens))
     found: list[dict] = []
     fields: set[str] = set()
     filler: set[str] = set()
