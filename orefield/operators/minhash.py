@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from orefield.functions.hashing import linear_hash
 from orefield.functions.vectors import jaccard
+from orefield.operators.hotkeys import bounded_broadcast, hot_split_join
 from orefield.operators.meeting import meet, rare_part, shared_counts, sized_tokens
 from orefield.session import cut_lineage
 
+#: Rows of an index that are broadcast.
+MAX_BROADCAST = 500_000
+
 
 def set_rows(df: DataFrame, entity: str, element: str) -> DataFrame:
     """Distinct (entity, element) rows without nulls."""
@@ -19,9 +23,10 @@ def set_rows(df: DataFrame, entity: str, element: str) -> DataFrame:
 def signatures(sets: DataFrame, index: DataFrame, a: list[int], b: list[int], m: int) -> DataFrame:
     """(entity, sig): for each coefficient pair the least ``(a*i + b) % m`` over the indexes of the entity's elements.
 
-    ``index``: (element, idx). The minima are combined before the exchange on the entity, so large sets are no hot spots.
+    ``index``: (element, idx); it is broadcast if it is small (counted), else an element of many entities is split. The minima are combined before the exchange on the entity, so large sets are no hot spots.
     """
-    indexed = sets.join(index, "element").select("entity", "idx")
+    small = bounded_broadcast(index, MAX_BROADCAST)
+    indexed = (sets.join(small, "element") if small is not index else hot_split_join(sets, index, "element")).select("entity", "idx")
     mins: list[Column] = [F.min(linear_hash(F.col("idx"), x, y, m)).alias(f"h{i}") for i, (x, y) in enumerate(zip(a, b))]
     return indexed.groupBy("entity").agg(*mins).select("entity", F.array(*[f"h{i}" for i in range(len(a))]).alias("sig"))
 

@@ -17,6 +17,24 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_packed(table(spark, sf_dir, "business"), "categories", ["record_id"], pos="pos", value="cat_value")
 
 
+#: Characters that make a field more than a list cut at delimiters.
+_MARKS = r"""["'“”‘’«»\\\[\]()/\x{2022}\t\n\r]"""
+
+
+@CORE.add(
+    "p2_plain",
+    f"""
+    WITH f AS (SELECT record_id, list_filter(list_transform(string_split_regex(categories, '[,;|]'), lambda v: trim(v)), lambda v: v <> '') AS vs
+               FROM business WHERE categories IS NOT NULL AND NOT regexp_matches(categories, '{_MARKS.replace("'", "''")}'))
+    SELECT record_id, CAST(unnest(generate_series(1, len(vs))) AS INTEGER) AS pos, unnest(vs) AS cat_value FROM f
+    """,
+)
+def p2_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of ``p2_found`` in rows without quotes, brackets, slashes and escapes, which SQL can split as well."""
+    plain = table(spark, sf_dir, "business").where(~F.col("categories").rlike(_MARKS)).select("record_id")
+    return p2_found(spark, sf_dir).join(plain, "record_id", "left_semi")
+
+
 @CORE.add(
     "p3_found",
     """
