@@ -37,6 +37,21 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.join(exact, "value", "left_anti").select("record_id", F.coalesce("ref_id", F.lit(0)).cast("int").alias("city_id"))
 
 
+@LLM.add(
+    "p5_plain",
+    """
+    WITH k AS (SELECT lower(city_name) AS k, min(city_id) AS city_id FROM (SELECT city_id, city_name FROM ref_city UNION ALL SELECT city_id, alias FROM ref_city WHERE alias IS NOT NULL) GROUP BY 1)
+    SELECT record_id, city_id FROM business JOIN k ON lower(trim(city)) = k WHERE city NOT IN (SELECT city_name FROM ref_city)
+    """,
+)
+def p5_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``p5_found`` whose city is a listed name or alias but for case and blanks around it."""
+    ref = table(spark, sf_dir, "ref_city")
+    names = ref.select(F.lower("city_name").alias("k")).unionByName(ref.select(F.lower("alias").alias("k"))).where("k IS NOT NULL").distinct()
+    typed = table(spark, sf_dir, "business").select("record_id", F.lower(F.trim("city")).alias("k"))
+    return p5_found(spark, sf_dir).join(typed.join(bounded_broadcast(names, 2 * REF_CITIES), "k", "left_semi"), "record_id", "left_semi")
+
+
 @LLM.add("p5_unmatched")
 def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed cities that mean no entry of the list, with their number of rows."""
