@@ -69,14 +69,14 @@ PATTERNS: dict[str, list[tuple[str, str]]] = {
         ("{!;{$;{#;{%;{@;{&;{^;{*;{?;{=;{:;{/;{~;{|;{-;{+", r"\{[!$#%@&^*?=:/~|+-][^{}]*\}"),
         ("<%;<?;<#;<$;<@;<!;<=;<&", r"<[%?#$@=&][^<>]*>|<![^<>-]+>"),
         ("<<", r"<<[^<>]+>>"),
-        ("((", r"\(\(" + _NAME.replace("(", "(?:", 1) + r"\)\)"),
+        ("((", r"\(\(\p{L}\w*(?:[ ._-]\w+){0,3}\)\)"),
         ("[[", r"\[\[[^\[\]]+\]\]"),
-        ("[%;[$;[#;[@;[*;[!;[&;[=;[~;[|", r"\[([%$#@*!&=~|])[^\[\]]+?\1?\]".replace("(", "(?P<mark>", 1).replace(r"\1", "(?P=mark)")),
+        ("[%;[$;[#;[@;[*;[!;[&;[=;[~;[|", r"\[(?P<mark>[%$#@*!&=~|])\s?\p{L}[^\[\]]*?(?P=mark)\]|\[[%$]\p{L}[^\[\]]*\]"),
         ("$(;%(;$[", r"\$\(\p{L}[\w .-]*\)|%\(\p{L}[\w .-]*\)[sdf]|\$\[\p{L}[\w .-]*\]"),
         ("[object", r"\[object object\]"),
         ("__", r"(?<![\w])__\p{L}\w*?__(?!\w)"),
         ("____", _TOLD + r"(?<!_)_{4,}(?!\s+where\b)"),
-        ("##;@@;%%;$$;^^;&&;||;¤¤;§§", r"([#@%$^&|¤§])\1\s?\p{L}[\w .-]*?\1\1".replace("(", "(?P<mark>", 1).replace(r"\1", "(?P=mark)")),
+        ("##;@@;%%;$$;^^;&&;||;¤¤;§§", r"(?P<mark>[#@%$^&|¤§])(?P=mark)\s?\p{L}[\w .-]*?(?P=mark)(?P=mark)"),
         ("*|", r"\*\|\p{L}[\w :.-]*\|\*"),
         ("%", r"(?<![\w%])%\p{L}[\w.-]+%(?!\w)|(?<![0-9a-z%])%(?:[sd]\b|\d\$s)"),
         ("[insert;[enter;[add;[your;[type;{insert;{enter;{add;{your;<insert;<enter;<add;<your;(insert;(enter", r"[\[{<(](?:insert|enter|type) [^\[\]{}<>()]+[\]}>)]|[\[{<](?:your|add) [^\[\]{}<>]+[\]}>]"),
@@ -88,11 +88,11 @@ PATTERNS: dict[str, list[tuple[str, str]]] = {
         ("«;‹", rf"{_TOLD}[«‹]{_NAME}[»›]"),
         ("[", rf"{_TOLD}(?<!\[)\[{_NAME}\]"),
         ("(your", rf"{_TOLD}\(your {_NAME}\)"),
-        (";".join(mark + c for mark in "$~^|!#@=" for c in "abcdefghijklmnopqrstuvwxyzäöüéáíóúñç"), r"(?<![\p{L}\d\p{S}\p{Po}])([$~^|!#@=])(\p{L}\w*(?:[ ._-]\w+){0,3})\1(?![\p{L}\d])".replace("(", "(", 1).replace("([$", "(?P<mark>[$").replace(r"\1", "(?P=mark)")),
+        (";".join(mark + c for mark in "$~^|!#@=" for c in "abcdefghijklmnopqrstuvwxyzäöüéáíóúñç"), rf"(?<![\p{{L}}\d\p{{S}}\p{{Po}}])(?P<mark>[$~^|!#@=]){_NAME}(?P=mark)(?![\p{{L}}\d])"),
     ],
     "filler": [
         (_RUNS.replace("|", ";"), rf"(?:\b\p{{L}}*(?:{_RUNS})\p{{L}}*\b[\s,.;]*){{2,}}"),
-        (";".join(f"{w} here" for w in "goes text name title description address logo photo image content message".split()), _START + r"(?:your )?\p{L}+ goes here\b|" + _START + r"your \p{L}+ here\b|\b(?:title|image|description|address|name|text|headline) goes here"),
+        (";".join(f"{w} here" for w in "goes text copy name title description address logo photo image content message".split()), _START + r"(?:your )?(?:text|copy|name|title|description|address|logo|photo|image|content|message|headline|paragraph|caption)(?: \p{L}+)? goes here\b|" + _START + r"your (?:\p{L}+ )?(?:text|copy|name|title|description|address|logo|photo|image|content|message) here\b"),
         ("enter a short", r"enter a short description"),
         ("ihr text;texte ici;su texto;aqu", r"hier (?:steht|kommt) ihr text|votre texte ici|(?:escriba|inserte) aqu[íi] su texto|aqu[íi] va (?:la|el|su)\b"),
         ("ins;sie hier", r"\bins[ée]rez (?:la|le|votre|une) (?:description|texte)|f[üu]gen sie hier"),
@@ -106,7 +106,7 @@ PATTERNS: dict[str, list[tuple[str, str]]] = {
     ],
     "error": [
         (REASON_WORDS, rf"(?<![\p{{L}}\d])[45]\d\d\s*[,:\-–(]*\s*(?:{REASONS})\b|" + _START + rf"(?:{REASONS})\s*(?:[.:(<]|$)"),
-        ("error;fehler;erreur;code;http", r"\b(?:error|fehler|erreur|code|http(?:/\d(?:\.\d)?)?)\s*:?\s+[45]\d\d\b"),
+        ("error;fehler;erreur;code;http", r"\b(?:(?:error|fehler|erreur)(?: code)?|(?:status|response|error) code|http(?:/\d(?:\.\d)?)?)\s*:?\s+[45]\d\d\b"),
         ("::", r"\be[45]\d\d\s*::"),
         ("\"error\"", r"\"error\"\s*:"),
         ("serverfehler;erreur interne;error interno", _START + r"(?:interner serverfehler|erreur interne|error interno)"),

@@ -244,6 +244,12 @@ def test_evidence():
             assert all(words.split(";"))
 
 
+def test_prose_with_the_words_of_notices_is_none():
+    prose = ["Everybody goes here on Sundays.", "Your team here is great.", "Use code 500 for a discount.", "Area code 415 is ours.", "See the note [*prices may vary].", "Follow us [@home] today.", "They ran out of copy paper, text me.", "More bread, more soup, more wine, more more."]
+    assert not [line for line in prose if evidence_of(line)]
+    assert all(map(evidence_of, ["Text goes here", "Your text here.", "Image title goes here.", "Error code 503", "Your company name here", "[%name%] is away"]))
+
+
 def test_residue_documents(spark):
     banner = "This site requires cookies and scripts to work."
     rows = [(k, f"{TOLD[k % len(TOLD)]}\n{banner}", "h1", "a") for k in range(60)]
