@@ -68,7 +68,7 @@ def filled(children: DataFrame) -> DataFrame:
 def budgets(leaves: DataFrame, levels: list[str], level: str, weights: dict[str, dict[str, float]], total: float | None) -> DataFrame:
     """(leaf, budget) in tokens for leaves (levels, size, target_share, max_repeats)."""
     sized = leaves.withColumn("capacity", F.col("size") * F.coalesce("max_repeats", F.lit(0)))
-    nodes = [cut_lineage(n) for n in _nodes(sized, levels, level, weights)]
+    nodes = _nodes(sized, levels, level, weights)
     if total is None:  # the largest at which every node with a target and with items reaches its share
         goal = nodes[levels.index(level)]
         weights_of_all = goal.agg(F.sum("weight").alias("all"))
