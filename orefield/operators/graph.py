@@ -26,7 +26,7 @@ def cooccurrence_edges(pairs: DataFrame, node: str, item: str, at_least: int) ->
     rows = cut_lineage(pairs.select(F.col(node).alias("record"), F.col(item).alias("token")).where("record IS NOT NULL AND token IS NOT NULL").distinct())
     sizes = rows.groupBy("record").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
     tokens = cut_lineage(sized_tokens(rows, sizes))
-    met = meet(rare_part(tokens, F.lit(max(1, at_least))), ["token"])
+    met = meet(rare_part(tokens, F.lit(max(1, at_least))).drop("df"), ["token"])
     pairs_ = met.select(F.col("a.record").alias("a"), F.col("b.record").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b")).where("a < b").distinct()
     return both_ways(shared_counts(pairs_, tokens).where(F.col("shared") >= at_least).select(F.col("a").alias("u"), F.col("b").alias("v")))
 

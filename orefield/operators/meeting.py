@@ -21,7 +21,7 @@ SLICE = 50_000
 
 
 def rare_part(tokens: DataFrame, need: Column) -> DataFrame:
-    """The rows (record, n, token) of the rarest part of each set that every partner sharing at least ``need`` tokens must touch.
+    """The rows (record, n, token, df) of the rarest part of each set that every partner sharing at least ``need`` tokens must touch.
 
     ``tokens`` has (record, n, token, df), df the number of sets with the token, without the tokens of one set only, though n counts
     those. A partner shares one of the ``n - need + 1`` rarest tokens, so the others find nobody new. The part comes from a histogram
@@ -33,7 +33,7 @@ def rare_part(tokens: DataFrame, need: Column) -> DataFrame:
     levels = levels.withColumn("upto", F.sum("c").over(upto)).withColumn("single", F.col("n") - F.sum("c").over(Window.partitionBy("record")))
     wanted = levels.where(F.col("single") + F.col("upto") - F.col("c") < F.col("n") - need + 1)
     cut = wanted.groupBy("record").agg(F.max("level").alias("cut"))
-    return hot_split_join(near, cut, "record").where("level <= cut").select("record", "n", "token")
+    return hot_split_join(near, cut, "record").where("level <= cut").select("record", "n", "token", "df")
 
 
 def meet(rows: DataFrame, keys: list[str], bucket: int = BUCKET) -> DataFrame:

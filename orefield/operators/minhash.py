@@ -70,7 +70,7 @@ def all_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """
     rows, sizes = _sized(cut_lineage(sets))
     tokens = cut_lineage(sized_tokens(rows, sizes))
-    met = meet(rare_part(tokens, F.greatest(F.lit(1), F.ceil(F.col("n") * threshold - 1e-9))), ["token"])
+    met = meet(rare_part(tokens, F.greatest(F.lit(1), F.ceil(F.col("n") * threshold - 1e-9))).drop("df"), ["token"])
     sized = met.select(F.col("a.record").alias("a"), F.col("b.record").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
     fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9
     return _above(shared_counts(sized.where((F.col("a") < F.col("b")) & fits).distinct(), tokens), threshold)
