@@ -1,7 +1,7 @@
 """All pairs of records whose sets overlap above a Jaccard threshold: a size-aware overlap join.
 
 Equal sets are one class and take part once. Tokens are ordered by how many sets hold them, rarest first.
-*Small* sets (at most ``small`` tokens) list the token subsets of the size that any qualifying pair must share, and meet on a subset.
+*Small* sets (at most ``small`` tokens, by default as many as pays in these data) list the token subsets of the size that any qualifying pair must share, and meet on a subset.
 *Large* sets scan inverted lists, among sets of compatible size. Both look only at the rarest part of a set which a qualifying
 partner must touch, so lists of frequent tokens are not paired. The union of the pairs is verified by exact overlap.
 
@@ -42,7 +42,33 @@ def _least_overlap(threshold: float, a: int, b: int) -> int:
     return math.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
 
-def overlap_join(sets: DataFrame, record: str, token: str, threshold: float, min_size: int, small: int = 12) -> tuple[DataFrame, DataFrame]:
+#: Largest size that subsets are enumerated for by default, and the most subsets of one set; beyond, lists are scanned.
+MOST_SMALL, MOST_SUBSETS = 24, 5_000
+
+
+def _subset_places(n: int, threshold: float, share: int) -> int:
+    """How many of the rarest tokens of a set of ``n`` its subsets of ``share`` tokens are taken from."""
+    return min(n, n - max(math.ceil(n * threshold - 1e-9), share) + share)
+
+
+def size_boundary(rare: DataFrame, threshold: float, share: int) -> int:
+    """The size up to which enumerating subsets makes fewer rows than scanning the lists of the rare tokens, added up over the sizes.
+
+    A record met in a list counts as ``share`` rows, as many as it takes at least to verify a pair; pairs from subsets nearly all qualify.
+    """
+    per = rare.where(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.count_distinct("record").alias("sets"), F.sum("df").alias("scanned"))
+    best, balance = 0, 0
+    for row in sorted(per.collect()):  # at most MOST_SMALL rows
+        subsets = math.comb(_subset_places(row["n"], threshold, share), share)
+        if subsets > MOST_SUBSETS:
+            break
+        balance += row["scanned"] * share - row["sets"] * subsets
+        if balance >= 0:
+            best = row["n"]
+    return best
+
+
+def overlap_join(sets: DataFrame, record: str, token: str, threshold: float, min_size: int, small: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes (rep_a, rep_b, n_a, n_b, shared, jaccard) with rep_a < rep_b, and the members (record, n, rep).
 
     Null records and tokens are skipped, repeated rows count once, records below ``min_size`` tokens are not in the result. Complete:
@@ -57,6 +83,9 @@ def overlap_join(sets: DataFrame, record: str, token: str, threshold: float, min
 
     share = min(_least_overlap(threshold, min_size, min_size), min_size)  # overlap of any qualifying pair, at least
     least = F.ceil(F.col("n") * threshold - 1e-9)  # and of one with a set of n tokens
+    rare = cut_lineage(rare_part(tokens, least))  # the n - least + 1 rarest tokens of each set
+    if small is None:
+        small = size_boundary(rare, threshold, share)
 
     # small sets: subsets of `share` tokens out of the n - least + share rarest
     lists = (
@@ -68,15 +97,16 @@ def overlap_join(sets: DataFrame, record: str, token: str, threshold: float, min
         .where(F.col("p") >= share)
     )
     spark = sets.sparkSession
-    chosen = [(p, list(c)) for p in range(share, small + 1) for c in combinations(range(p), share)]
+    places = lambda n: _subset_places(n, threshold, share)
+    chosen = [(p, list(c)) for p in range(share, max(map(places, range(1, small + 1)), default=0) + 1) for c in combinations(range(p), share)]
     subsets = spark.createDataFrame(chosen, "p int, at array<int>") if chosen else spark.createDataFrame([], "p int, at array<int>")
     key = F.xxhash64(*[F.get("rare", F.col("at")[i]) for i in range(share)])
     keyed = lists.join(F.broadcast(subsets), "p").select("record", "n", key.alias("key"))
     pairs = _pairs(keyed, "key", threshold, lambda larger: larger <= small)
 
-    # large sets: inverted lists of the n - least + 1 rarest tokens
-    near = tokens.where(F.col("n") >= math.ceil(threshold * (small + 1) - 1e-9))
-    pairs = pairs.unionByName(_pairs(rare_part(near, least), "token", threshold, lambda larger: larger > small))
+    # large sets: inverted lists of the rarest tokens
+    near = rare.where(F.col("n") >= math.ceil(threshold * (small + 1) - 1e-9)).select("record", "n", "token")
+    pairs = pairs.unionByName(_pairs(near, "token", threshold, lambda larger: larger > small))
 
     counted = shared_counts(pairs.distinct(), tokens).withColumn("jaccard", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")))
     return counted.where(F.col("jaccard") >= threshold - 1e-12).withColumnsRenamed({"a": "rep_a", "b": "rep_b"}), members

@@ -87,7 +87,7 @@ def make_sets(seed):
     return sets
 
 
-@pytest.mark.parametrize("threshold,least,small", [(0.5, 5, 12), (0.8, 2, 6), (0.3, 3, 8), (1.0, 1, 12), (0.5, 5, 0)])
+@pytest.mark.parametrize("threshold,least,small", [(0.5, 5, 12), (0.8, 2, 6), (0.3, 3, 8), (1.0, 1, 12), (0.5, 5, 0), (0.5, 5, None), (0.7, 2, None)])
 def test_overlap_join(spark, threshold, least, small):
     sets = make_sets(int(threshold * 10) + least)
     rows = [(s, u, 1) for s, us in sets.items() for u in us]
