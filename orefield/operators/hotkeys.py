@@ -157,12 +157,15 @@ def heavy_keys(df: DataFrame, key: str, share: float, bins: int = 256, max_round
     return counted.where(F.col("n_rows") >= least)
 
 
-def hot_split_join(left: DataFrame, right: DataFrame, key: str, parts: int = HOT_PARTS) -> DataFrame:
+def hot_split_join(left: DataFrame, right: DataFrame, key: str, parts: int = HOT_PARTS, max_broadcast: int = 100_000) -> DataFrame:
     """Inner equi-join of ``left`` with ``right``, which is unique by ``key``, when a few keys hold most rows of ``left``.
 
-    Keys with at least one in ``parts`` of the rows of ``left`` (at most ``parts`` keys, so at most ``parts`` rows of ``right``) are
+    ``right`` is written; with at most ``max_broadcast`` rows (counted) it is broadcast, and no row of ``left`` moves. Beyond, keys with at least one in ``parts`` of the rows of ``left`` (at most ``parts`` keys, so at most ``parts`` rows of ``right``) are
     joined by broadcast; the other rows are shuffled on the key, none of which exceeds one in ``parts``. Null keys match nothing.
     """
+    right = cut_lineage(right)
+    if right.limit(max_broadcast + 1).count() <= max_broadcast:
+        return left.join(F.broadcast(right), key)
     counts = left.where(F.col(key).isNotNull()).groupBy(key).count()
     total = counts.agg(F.sum("count").alias("__total"))
     hot_keys = counts.crossJoin(F.broadcast(total)).where(F.col("count") * parts >= F.col("__total")).select(key)

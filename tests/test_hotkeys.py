@@ -83,7 +83,8 @@ def test_hot_split_join(spark, parts):
     left = spark.createDataFrame(rows, SCHEMA)
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("none", 4)], "k string, x int")
     plain = sorted(map(str, left.join(right, "k").collect()))
-    assert sorted(map(str, hotkeys.hot_split_join(left, right, "k", parts).select("k", "v", "u", "d", "x").collect())) == plain
+    for options in ({"max_broadcast": 0}, {}):
+        assert sorted(map(str, hotkeys.hot_split_join(left, right, "k", parts, **options).select("k", "v", "u", "d", "x").collect())) == plain
 
 
 def test_places(spark):
