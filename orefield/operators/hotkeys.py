@@ -157,7 +157,7 @@ def heavy_keys(df: DataFrame, key: str, share: float, bins: int = 256, max_round
     return counted.where(F.col("n_rows") >= least)
 
 
-def hot_split_join(left: DataFrame, right: DataFrame, key: str, parts: int = HOT_PARTS, max_broadcast: int = 100_000) -> DataFrame:
+def hot_split_join(left: DataFrame, right: DataFrame, key: str, parts: int = HOT_PARTS, max_broadcast: int = 10_000) -> DataFrame:
     """Inner equi-join of ``left`` with ``right``, which is unique by ``key``, when a few keys hold most rows of ``left``.
 
     ``right`` is written; with at most ``max_broadcast`` rows (counted) it is broadcast, and no row of ``left`` moves. Beyond, keys with at least one in ``parts`` of the rows of ``left`` (at most ``parts`` keys, so at most ``parts`` rows of ``right``) are
