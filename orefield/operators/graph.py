@@ -8,23 +8,41 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orefield.operators.compact import Graph, Sets, in_shares
 from orefield.operators.meeting import meet, rare_part, shared_counts, sized_tokens
-from orefield.session import cut_lineage, default_parallelism
+from orefield.session import cut_lineage
 
+#: Up to so many (node, item) rows (counted) go to every task, which pairs its share of the nodes.
+LOCAL_ROWS = 2_000_000
 
-def cooccurrence_edges(pairs: DataFrame, node: str, item: str, at_least: int) -> DataFrame:
+
+def cooccurrence_edges(pairs: DataFrame, node: str, item: str, at_least: int, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Both directions of each edge between nodes that share ``at_least`` items: (src, dst).
 
-    Nodes meet on shared items only. Of n items of a node, only its ``n - at_least + 1`` rarest are used to find partners, since one
+    Nodes with fewer items take no part. Up to ``local_rows`` rows are paired in tasks that hold them all, so that pairs with too few
+    shared items are never written. Beyond, nodes meet on shared items only. Of n items of a node, only its ``n - at_least + 1`` rarest are used to find partners, since one
     of those must be shared; frequent items, which would pair everybody with everybody, mostly drop out, and those left are split.
     Then shared items are counted.
     """
     rows = cut_lineage(pairs.select(F.col(node).alias("record"), F.col(item).alias("token")).where("record IS NOT NULL AND token IS NOT NULL").distinct())
     sizes = rows.groupBy("record").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
+    if local_rows and (sizes.agg(F.sum("n")).first()[0] or 0) <= local_rows:
+        kind = rows.schema["record"].dataType.simpleString()
+        held = rows.sparkSession.sparkContext.broadcast(Sets(rows.join(sizes.select("record"), "record", "left_semi")))
+
+        def pair(share: int, shares: int) -> Iterator[pa.RecordBatch]:
+            sets = held.value
+            for a, b, shared in sets.shared(share, shares):
+                a, b = a[shared >= at_least], b[shared >= at_least]
+                yield pa.RecordBatch.from_arrays([sets.names.take(pa.array(a)), sets.names.take(pa.array(b))], ["u", "v"])
+
+        return both_ways(cut_lineage(in_shares(rows.sparkSession, pair, f"u {kind}, v {kind}")))
     tokens = cut_lineage(sized_tokens(rows, sizes))
     met = meet(rare_part(tokens, F.lit(max(1, at_least))).drop("df"), ["token"])
     pairs_ = met.select(F.col("a.record").alias("a"), F.col("b.record").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b")).where("a < b").distinct()
@@ -84,6 +102,17 @@ def _united(parts: list[DataFrame]) -> list[DataFrame]:
     return [cut_lineage(reduce(DataFrame.unionByName, parts))] if len(parts) > LEVELS else parts
 
 
+#: Up to so many edges (counted) the graph goes to every task, which walks from its share of the roots.
+WALK_EDGES = 1_000_000
+
+
+def _held(edges: DataFrame, local_edges: int):
+    """The graph as a broadcast of arrays if it has at most ``local_edges`` edges (counted), else None."""
+    if not local_edges or edges.limit(2 * local_edges + 1).count() > 2 * local_edges:
+        return None
+    return edges.sparkSession.sparkContext.broadcast(Graph(edges))
+
+
 def shortest_paths(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(root, node, dist, sigma): distances and numbers of shortest paths from every node, or from ``roots`` (node), level by level until
     nothing new is reached."""
@@ -100,8 +129,7 @@ def shortest_paths(edges: DataFrame, roots: DataFrame | None = None) -> DataFram
     return reduce(DataFrame.unionByName, seen)
 
 
-#: Up to so many edges (counted) the graph goes to every task, which walks from its share of the roots; the divisive loop runs in one
-#: task, since a cut there takes less than the jobs of a cut over tables.
+#: Up to so many edges (counted) the divisive loop runs in one task, since a cut there takes less than the jobs of a cut over tables.
 LOCAL_EDGES = 10_000
 #: Roots whose paths are held in tables at a time.
 ROOTS = 5_000
@@ -134,35 +162,38 @@ def _flows(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return cut_lineage(reduce(DataFrame.unionByName, flows).groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.sum("flow").alias("flow")))
 
 
-def edge_betweenness(edges: DataFrame, local_edges: int = LOCAL_EDGES, roots: int = ROOTS) -> DataFrame:
+def edge_betweenness(edges: DataFrame, local_edges: int = WALK_EDGES, roots: int = ROOTS) -> DataFrame:
     """(u, v, betweenness), u < v: credit of shortest paths over each edge, every unordered pair of nodes counted once.
 
-    Up to ``local_edges`` edges every task walks from its share of the nodes; beyond, the paths are held in tables, of ``roots`` nodes at a
-    time, so that no table has a row for every two nodes of the graph.
+    Up to ``local_edges`` edges every task walks from its share of the nodes, some at a time, and gives one number per edge; beyond, the
+    paths are held in tables, of ``roots`` nodes at a time, so that no table has a row for every two nodes of the graph.
     """
     edges = cut_lineage(edges)
     spark = edges.sparkSession
-    nodes = vertices(edges)
-    known = edges.limit(2 * local_edges + 1).collect() if local_edges else []
-    if known and len(known) <= 2 * local_edges:
+    graph = _held(edges, local_edges)
+    if graph:
         kind = edges.schema["src"].dataType.simpleString()
-        pairs = spark.sparkContext.broadcast([(r["src"], r["dst"]) for r in known])
-
-        def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            adjacent = _adjacent(pairs.value)
-            found = _walk_flows(adjacent, [n for frame in frames for n in frame["node"]])
-            if found:
-                yield pd.DataFrame([(u, v, f) for (u, v), f in found.items()], columns=["u", "v", "flow"])
-
-        every = nodes.repartition(default_parallelism(spark), "node").mapInPandas(walk, f"u {kind}, v {kind}, flow double")
-    else:
-        nodes = cut_lineage(nodes)
-        batches = max(1, -(-nodes.count() // roots))
-        every = reduce(DataFrame.unionByName, [_flows(edges, nodes.where(F.pmod(F.xxhash64("node"), F.lit(batches)) == k)) for k in range(batches)])
+
+        def walk(share: int, shares: int) -> Iterator[pa.RecordBatch]:
+            flow = graph.value.flows(share, shares)
+            edge = np.flatnonzero(flow)
+            yield pa.RecordBatch.from_arrays([pa.array(edge), pa.array(flow[edge])], ["edge", "flow"])
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = graph.value
+            for batch in batches:
+                edge = batch.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([held.names.take(pa.array(held.u[edge])), held.names.take(pa.array(held.v[edge])), batch.column(1)], ["u", "v", "flow"])
+
+        summed = in_shares(spark, walk, "edge long, flow double").groupBy("edge").agg(F.sum("flow").alias("flow"))
+        return summed.mapInArrow(named, f"u {kind}, v {kind}, flow double").select("u", "v", F.round(F.col("flow") / 2, 9).alias("betweenness"))
+    nodes = cut_lineage(vertices(edges))
+    batches = max(1, -(-nodes.count() // roots))
+    every = reduce(DataFrame.unionByName, [_flows(edges, nodes.where(F.pmod(F.xxhash64("node"), F.lit(batches)) == k)) for k in range(batches)])
     return every.groupBy("u", "v").agg(F.round(F.sum("flow") / 2, 9).alias("betweenness"))
 
 
-def top_edge(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def top_edge(edges: DataFrame, local_edges: int = WALK_EDGES) -> DataFrame:
     """The edge (u, v, betweenness) of highest betweenness, the smaller one on ties; no row without edges."""
     return edge_betweenness(edges, local_edges).orderBy(F.desc("betweenness"), "u", "v").limit(1)
 
