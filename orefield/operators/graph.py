@@ -113,10 +113,26 @@ def _held(edges: DataFrame, local_edges: int):
     return edges.sparkSession.sparkContext.broadcast(Graph(edges))
 
 
-def shortest_paths(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+def shortest_paths(edges: DataFrame, roots: DataFrame | None = None, local_edges: int = WALK_EDGES) -> DataFrame:
     """(root, node, dist, sigma): distances and numbers of shortest paths from every node, or from ``roots`` (node), level by level until
-    nothing new is reached."""
+    nothing new is reached.
+
+    From every node of a graph of up to ``local_edges`` edges the paths are walked in tasks and written by nobody but the caller.
+    """
     edges = cut_lineage(edges)
+    graph = _held(edges, local_edges) if roots is None else None
+    if graph:
+        kind = edges.schema["src"].dataType.simpleString()
+
+        def walk(share: int, shares: int) -> Iterator[pa.RecordBatch]:
+            held = graph.value
+            for starts in held.batches(share, shares):
+                dist, sigma, _ = held.walk(starts)
+                at = np.flatnonzero(dist >= 0)
+                root, node = np.divmod(at, len(held.names))
+                yield pa.RecordBatch.from_arrays([held.names.take(pa.array(starts[root])), held.names.take(pa.array(node)), pa.array(dist[at]), pa.array(sigma[at])], ["root", "node", "dist", "sigma"])
+
+        return in_shares(edges.sparkSession, walk, f"root {kind}, node {kind}, dist int, sigma double")
     starts = vertices(edges) if roots is None else roots.select("node")
     frontier = cut_lineage(starts.select(F.col("node").alias("root"), "node", F.lit(0).alias("dist"), F.lit(1.0).alias("sigma")))
     seen, depth = [frontier], 0

@@ -77,3 +77,18 @@ def test_pairs_are_counted_alike_in_any_portion():
     for shares, at_once in ((1, 100), (1, 1), (3, 2)):
         got = sorted((int(a), int(b), int(n)) for share in range(shares) for found in sets.shared(share, shares, at_once) for a, b, n in zip(*found))
         assert got == [(0, 1, 2), (0, 2, 2), (1, 2, 2)]
+
+
+def test_paths_are_not_written(spark, written):
+    paths = graph.shortest_paths(both(spark, ACROSS))
+    got = paths.groupBy("dist").agg(F.count(F.lit(1)).alias("n"), F.min("sigma").alias("least"), F.max("sigma").alias("most"), F.countDistinct("root", "node").alias("pairs")).collect()
+    n = 2 * SIDE
+    assert sorted(map(tuple, got)) == [(0, n, 1.0, 1.0, n), (1, n * SIDE, 1.0, 1.0, n * SIDE), (2, n * (SIDE - 1), SIDE, SIDE, n * (SIDE - 1))]
+    assert max(written) <= 2 * len(ACROSS)
+
+
+def test_paths_in_tasks_and_over_tables(spark):
+    edges = both(spark, [*some_edges(30, 2), ("x", "y")])
+    one, other = (sorted(map(tuple, graph.shortest_paths(edges, local_edges=n).collect())) for n in (graph.WALK_EDGES, 0))
+    assert one == other and len(one) == len(set(one))
+    assert graph.shortest_paths(edges.limit(0)).count() == 0
