@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from test_graph_cluster import both, brute_betweenness
 
 from orefield.operators import compact, graph
+from orefield.plans import io_queries  # noqa: F401  (register their queries)
+from orefield.plans.registry import CORE
 
 
 @pytest.fixture
@@ -92,3 +94,11 @@ def test_paths_in_tasks_and_over_tables(spark):
     one, other = (sorted(map(tuple, graph.shortest_paths(edges, local_edges=n).collect())) for n in (graph.WALK_EDGES, 0))
     assert one == other and len(one) == len(set(one))
     assert graph.shortest_paths(edges.limit(0)).count() == 0
+
+
+def test_edge_file_writes_no_paths(spark, written, tmp_path):
+    users = 145
+    spark.createDataFrame([(f"u{i:03d}", f"b{k}") for i in range(users) for k in range(3)], "user_id string, business_id string").write.parquet(f"{tmp_path}/user_business.parquet")
+    lines = [r.value for r in CORE.queries["edge_file"](spark, str(tmp_path)).orderBy("line_no").collect()]
+    assert lines == [f"('u{i:03d}', 'u{j:03d}'), 1.0" for i in range(users) for j in range(i + 1, users)]
+    assert max(written) <= users * (users - 1)  # both directions of the edges
