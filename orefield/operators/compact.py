@@ -36,11 +36,8 @@ def in_shares(spark: SparkSession, work: Callable[[int, int], Iterator[pa.Record
 def coded(*columns: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
     """The distinct values of the columns in their order (bytes for strings), and each column as places in it."""
     values = pc.unique(pa.chunked_array([chunk for column in columns for chunk in column.chunks], type=columns[0].type))
-    order = pc.sort_indices(values)
-    place = np.empty(len(values), np.int32)
-    place[order.to_numpy()] = np.arange(len(values), dtype=np.int32)
-    found = [place[np.asarray(pc.index_in(column, values).combine_chunks(), dtype=np.int64)] for column in columns]
-    return values.take(order), found
+    values = values.take(pc.sort_indices(values))
+    return values, [pc.index_in(column, values).to_numpy().astype(np.int32) for column in columns]
 
 
 def starts(codes: np.ndarray, n: int) -> np.ndarray:
@@ -60,8 +57,9 @@ class Sets:
         """``rows``: (record, token), distinct and without nulls."""
         table = rows.toArrow()
         self.names, (record,) = coded(table.column("record"))
-        tokens, (token,) = coded(table.column("token"))
-        n, m = len(self.names), len(tokens)
+        _, (token,) = coded(table.column("token"))
+        del table  # the largest of what the driver holds
+        n, m = len(self.names), int(token.max()) + 1 if len(token) else 0
         by_record = np.lexsort((token, record))
         record, token = record[by_record], token[by_record]
         self.begin, self.tokens = starts(record, n), token
@@ -94,8 +92,32 @@ class Sets:
                 keys, shared = np.unique(keys, return_counts=True)
             yield mine[part][keys // n], keys % n, shared
 
-    def sizes(self) -> np.ndarray:
-        return np.diff(self.begin)
+    def similar(self, share: int, shares: int, threshold: float, at_once: int = AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(a, b, Jaccard index) of the pairs a < b with an index of at least ``threshold`` (above 0), as ``shared``."""
+        size = np.diff(self.begin)
+        for a, b, shared in self.shared(share, shares, at_once):
+            sim = shared / (size[a] + size[b] - shared)
+            kept = np.flatnonzero(sim >= threshold)
+            for at in range(0, len(kept), at_once):
+                some = kept[at : at + at_once]
+                yield a[some], b[some], sim[some]
+
+    def signatures(self, a: list[int], b: list[int], m: int) -> np.ndarray:
+        """Per record and coefficient pair the least ``(a*i + b) % m`` over the places i of its tokens."""
+        found = np.empty((len(self.names), len(a)), np.min_scalar_type(m))
+        for k, (x, y) in enumerate(zip(a, b)) if len(found) else ():
+            found[:, k] = np.minimum.reduceat((self.tokens.astype(np.int64) * x + y) % m, self.begin[:-1])
+        return found
+
+
+def agree(signatures: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int, at_once: int = AT_ONCE // 4) -> np.ndarray:
+    """Whether the signatures of a and b are equal in a band of ``rows``; what is left over at the end is not used."""
+    used = signatures.shape[1] // rows * rows
+    found = np.zeros(len(a), bool)
+    for i in range(0, len(a), at_once):
+        same = signatures[a[i : i + at_once], :used] == signatures[b[i : i + at_once], :used]
+        found[i : i + at_once] = same.reshape(len(same), used // rows, rows).all(axis=2).any(axis=1)
+    return found
 
 
 class Graph:

@@ -173,10 +173,7 @@ def jaccard_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CORE.add("lsh_recall", f"WITH {_SETS}, {_MINHASH}, {_JACCARD}, y AS (SELECT a, b FROM j JOIN z za ON za.e = a JOIN z zb ON zb.e = b WHERE o / (za.n + zb.n - o) >= {SIMILAR}) SELECT (SELECT count(*) FROM y) AS n_similar, (SELECT count(*) FROM y JOIN c USING (a, b)) AS n_found")
 def lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of the similar pairs share a band."""
-    sets = review_sets(spark, sf_dir)
-    exact = minhash.all_pairs(sets, SIMILAR).select("a", "b")
-    found = minhash.candidates(minhash.bands(_signatures(spark, sf_dir), BAND_ROWS)).withColumn("found", F.lit(1))
-    return exact.join(found, ["a", "b"], "left").agg(F.count(F.lit(1)).alias("n_similar"), F.count("found").alias("n_found"))
+    return minhash.lsh_recall(review_sets(spark, sf_dir), SIMILAR, BAND_ROWS, SIG_A, SIG_B, MODULUS)
 
 
 # --- sketches ----------------------------------------------------------------------------------------------------------------

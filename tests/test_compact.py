@@ -7,9 +7,10 @@ from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
+from oracle import compare
 from test_graph_cluster import both, brute_betweenness
 
-from orefield.operators import compact, graph
+from orefield.operators import compact, graph, meeting, minhash
 from orefield.plans import io_queries  # noqa: F401  (register their queries)
 from orefield.plans.registry import CORE
 
@@ -102,3 +103,42 @@ def test_edge_file_writes_no_paths(spark, written, tmp_path):
     lines = [r.value for r in CORE.queries["edge_file"](spark, str(tmp_path)).orderBy("line_no").collect()]
     assert lines == [f"('u{i:03d}', 'u{j:03d}'), 1.0" for i in range(users) for j in range(i + 1, users)]
     assert max(written) <= users * (users - 1)  # both directions of the edges
+
+
+@pytest.fixture
+def written_by_minhash(monkeypatch):
+    """Rows of each table that the operators on signatures and meetings write."""
+    rows, cut = [], minhash.cut_lineage
+
+    def counted(df):
+        table = cut(df)
+        rows.append(table.count())
+        return table
+
+    for module in (minhash, meeting):
+        monkeypatch.setattr(module, "cut_lineage", counted)
+    return rows
+
+
+#: 60 sets of one element each and 60 that overlap: sets of small least numbers share bands, though few share elements.
+SETS = [(f"e{i:02d}", f"x{i:02d}") for i in range(60)] + [(f"f{i:02d}", f"y{(i + k) % 60:02d}") for i in range(60) for k in range(1 + i % 5)]
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3])
+def test_lsh_in_tasks_and_over_tables(spark, rows):
+    sets = spark.createDataFrame(SETS, "entity string, element string")
+    options = (sets, 0.2, rows, [3, 5, 7, 11, 13], [1, 0, 4, 2, 9], 17)
+    one, other = (sorted(map(tuple, minhash.lsh_pairs(*options, local_rows=n).collect())) for n in (minhash.LOCAL_ROWS, 0))
+    assert one == other and one
+    counts = [minhash.lsh_recall(*options, local_rows=n).collect() for n in (minhash.LOCAL_ROWS, 0)]
+    assert counts[0] == counts[1] and counts[0][0].n_found == len(one)
+    none = sets.limit(0)
+    assert minhash.lsh_pairs(none, *options[1:]).count() == 0
+    assert tuple(minhash.lsh_recall(none, *options[1:]).first()) == (0, 0)
+
+
+@pytest.mark.parametrize("name", ["lsh_recall"])
+def test_lsh_writes_no_bands(spark, written_by_minhash, tmp_path, name):
+    spark.createDataFrame([(x, e) for e, x in SETS], "user_id string, business_id string").write.parquet(f"{tmp_path}/user_business.parquet")
+    _, difference = compare(spark, CORE.queries, CORE.sql, name, str(tmp_path))
+    assert not difference and max(written_by_minhash) <= len(SETS)  # there are 32 bands per set
