@@ -161,8 +161,7 @@ def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.add("lsh_jaccard", f"WITH {_SETS}, {_MINHASH}, {_JACCARD} SELECT a, b, round(o / (za.n + zb.n - o), 6) AS sim FROM c JOIN j USING (a, b) JOIN z za ON za.e = a JOIN z zb ON zb.e = b WHERE o / (za.n + zb.n - o) >= {SIMILAR}")
 def lsh_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs_ = minhash.candidates(minhash.bands(_signatures(spark, sf_dir), BAND_ROWS))
-    return minhash.verify(pairs_, review_sets(spark, sf_dir), SIMILAR)
+    return minhash.lsh_pairs(review_sets(spark, sf_dir), SIMILAR, BAND_ROWS, SIG_A, SIG_B, MODULUS)
 
 
 @CORE.add("jaccard_exact", f"WITH {_SETS}, {_JACCARD} SELECT a, b, round(o / (za.n + zb.n - o), 6) AS sim FROM j JOIN z za ON za.e = a JOIN z zb ON zb.e = b WHERE o / (za.n + zb.n - o) >= {SIMILAR}")

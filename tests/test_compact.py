@@ -137,7 +137,7 @@ def test_lsh_in_tasks_and_over_tables(spark, rows):
     assert tuple(minhash.lsh_recall(none, *options[1:]).first()) == (0, 0)
 
 
-@pytest.mark.parametrize("name", ["lsh_recall"])
+@pytest.mark.parametrize("name", ["lsh_recall", "lsh_jaccard"])
 def test_lsh_writes_no_bands(spark, written_by_minhash, tmp_path, name):
     spark.createDataFrame([(x, e) for e, x in SETS], "user_id string, business_id string").write.parquet(f"{tmp_path}/user_business.parquet")
     _, difference = compare(spark, CORE.queries, CORE.sql, name, str(tmp_path))
