@@ -20,10 +20,10 @@ from orefield.session import default_parallelism, ship_package
 AT_ONCE = 1_000_000
 
 
-def in_shares(spark: SparkSession, work: Callable[[int, int], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """The batches of ``work(share, shares)``, one task per share."""
+def in_shares(spark: SparkSession, work: Callable[[int, int], Iterator[pa.RecordBatch]], schema: str, shares: int | None = None) -> DataFrame:
+    """The batches of ``work(share, shares)``, one task per share; as many as shuffle partitions unless ``shares`` is given."""
     ship_package(spark)
-    shares = default_parallelism(spark)
+    shares = shares or default_parallelism(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,15 +124,15 @@ class Graph:
     """Arcs between nodes as places in sorted order."""
 
     def __init__(self, edges: DataFrame):
-        table = edges.select("src", "dst").distinct().toArrow()
+        table = edges.select("src", "dst").toArrow()
         self.names, (src, dst) = coded(table.column("src"), table.column("dst"))
+        del table
         n = len(self.names)
-        order = np.lexsort((dst, src))
-        src, dst = src[order], dst[order]
+        src, dst = (x.astype(np.int32) for x in np.divmod(np.unique(src.astype(np.int64) * n + dst), max(n, 1)))  # repeated arcs count once
         self.begin, self.target = starts(src, n), dst
         ends = np.minimum(src, dst).astype(np.int64) * n + np.maximum(src, dst)
         found, self.edge = np.unique(ends, return_inverse=True)  # per arc: its edge
-        self.u, self.v = found // max(n, 1), found % max(n, 1)
+        self.edge, self.u, self.v = (x.astype(np.int32) for x in (self.edge, *np.divmod(found, max(n, 1))))  # the broadcast is a file on every machine
 
     def batches(self, share: int, shares: int, at_once: int = AT_ONCE) -> Iterator[np.ndarray]:
         """The roots of ``share``, as many at a time as have ``at_once`` arcs and (root, node) places together."""

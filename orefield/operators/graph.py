@@ -15,26 +15,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orefield.operators.compact import Graph, Sets, in_shares
+from orefield.operators.hotkeys import bounded_broadcast
 from orefield.operators.meeting import meet, rare_part, shared_counts, sized_tokens
-from orefield.session import cut_lineage
+from orefield.session import cut_lineage, default_parallelism
 
 #: Up to so many (node, item) rows (counted) go to every task, which pairs its share of the nodes.
 LOCAL_ROWS = 2_000_000
+#: Nodes with enough items that are broadcast.
+MAX_BROADCAST = 500_000
 
 
 def cooccurrence_edges(pairs: DataFrame, node: str, item: str, at_least: int, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Both directions of each edge between nodes that share ``at_least`` items: (src, dst).
 
-    Nodes with fewer items take no part. Up to ``local_rows`` rows are paired in tasks that hold them all, so that pairs with too few
+    Nodes with fewer items take no part; where those with enough rows are few (counted), the others' rows are dropped before any exchange of rows. Up to ``local_rows`` rows are paired in tasks that hold them all, so that pairs with too few
     shared items are never written. Beyond, nodes meet on shared items only. Of n items of a node, only its ``n - at_least + 1`` rarest are used to find partners, since one
     of those must be shared; frequent items, which would pair everybody with everybody, mostly drop out, and those left are split.
     Then shared items are counted.
     """
-    rows = cut_lineage(pairs.select(F.col(node).alias("record"), F.col(item).alias("token")).where("record IS NOT NULL AND token IS NOT NULL").distinct())
-    sizes = rows.groupBy("record").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
+    rows = pairs.select(F.col(node).alias("record"), F.col(item).alias("token")).where("record IS NOT NULL AND token IS NOT NULL")
+    if at_least > 1:  # repeated rows are still counted, so no node with enough items is lost
+        enough = cut_lineage(rows.groupBy("record").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least).select("record"))
+        few = bounded_broadcast(enough, MAX_BROADCAST)
+        rows = rows if few is enough else rows.join(few, "record", "left_semi")
+    rows = cut_lineage(rows.distinct())
+    sizes = cut_lineage(rows.groupBy("record").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least))
     if local_rows and (sizes.agg(F.sum("n")).first()[0] or 0) <= local_rows:
         kind = rows.schema["record"].dataType.simpleString()
-        held = rows.sparkSession.sparkContext.broadcast(Sets(rows.join(sizes.select("record"), "record", "left_semi")))
+        held = rows.sparkSession.sparkContext.broadcast(Sets(rows.join(bounded_broadcast(sizes.select("record"), MAX_BROADCAST), "record", "left_semi")))
 
         def pair(share: int, shares: int) -> Iterator[pa.RecordBatch]:
             sets = held.value
@@ -42,16 +50,22 @@ def cooccurrence_edges(pairs: DataFrame, node: str, item: str, at_least: int, lo
                 a, b = a[shared >= at_least], b[shared >= at_least]
                 yield pa.RecordBatch.from_arrays([sets.names.take(pa.array(a)), sets.names.take(pa.array(b))], ["u", "v"])
 
-        return both_ways(cut_lineage(in_shares(rows.sparkSession, pair, f"u {kind}, v {kind}")))
+        found = cut_lineage(in_shares(rows.sparkSession, pair, f"u {kind}, v {kind}"))
+        held.destroy()
+        return _both(found)  # each pair comes once
     tokens = cut_lineage(sized_tokens(rows, sizes))
     met = meet(rare_part(tokens, F.lit(max(1, at_least))).drop("df"), ["token"])
     pairs_ = met.select(F.col("a.record").alias("a"), F.col("b.record").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b")).where("a < b").distinct()
     return both_ways(shared_counts(pairs_, tokens).where(F.col("shared") >= at_least).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("u").alias("src"), F.col("v").alias("dst")).unionByName(edges.select(F.col("v").alias("src"), F.col("u").alias("dst")))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """(src, dst) in both directions from (u, v)."""
-    return edges.select(F.col("u").alias("src"), F.col("v").alias("dst")).unionByName(edges.select(F.col("v").alias("src"), F.col("u").alias("dst"))).distinct()
+    return _both(edges).distinct()
 
 
 def vertices(edges: DataFrame) -> DataFrame:
@@ -201,7 +215,8 @@ def edge_betweenness(edges: DataFrame, local_edges: int = WALK_EDGES, roots: int
                 edge = batch.column(0).to_numpy()
                 yield pa.RecordBatch.from_arrays([held.names.take(pa.array(held.u[edge])), held.names.take(pa.array(held.v[edge])), batch.column(1)], ["u", "v", "flow"])
 
-        summed = in_shares(spark, walk, "edge long, flow double").groupBy("edge").agg(F.sum("flow").alias("flow"))
+        shares = min(default_parallelism(spark), spark.sparkContext.defaultParallelism)  # each sends a number for every edge, so no more than run at once
+        summed = in_shares(spark, walk, "edge long, flow double", shares).groupBy("edge").agg(F.sum("flow").alias("flow"))
         return summed.mapInArrow(named, f"u {kind}, v {kind}, flow double").select("u", "v", F.round(F.col("flow") / 2, 9).alias("betweenness"))
     nodes = cut_lineage(vertices(edges))
     batches = max(1, -(-nodes.count() // roots))

@@ -105,6 +105,32 @@ def test_edge_file_writes_no_paths(spark, written, tmp_path):
     assert max(written) <= users * (users - 1)  # both directions of the edges
 
 
+def test_edge_file_writes_no_rows_of_small_nodes(spark, written, tmp_path):
+    large = [(f"u{i}", f"b{k}") for i in range(9) for k in range(3)]
+    small = [(f"v{i:03d}", f"b{i % 5}") for i in range(300)]
+    spark.createDataFrame([*large, *small, *small[:20] * 2], "user_id string, business_id string").write.parquet(f"{tmp_path}/user_business.parquet")
+    _, difference = compare(spark, CORE.queries, CORE.sql, "edge_file", str(tmp_path))
+    assert not difference and max(written) <= 9 * 8  # both directions of the edges
+
+
+def test_flows_are_sent_by_no_more_tasks_than_run_at_once(spark, monkeypatch):
+    sent, in_shares = [], graph.in_shares
+
+    def counted(*args):
+        sent.append(in_shares(*args))
+        return sent[-1]
+
+    monkeypatch.setattr(graph, "in_shares", counted)
+    edges = some_edges()
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        assert graph.edge_betweenness(both(spark, edges)).count() == len(edges)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert sum(x.count() for x in sent) <= spark.sparkContext.defaultParallelism * len(edges)
+
+
 @pytest.fixture
 def written_by_minhash(monkeypatch):
     """Rows of each table that the operators on signatures and meetings write."""
