@@ -123,8 +123,8 @@ def agree(signatures: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int, at_on
 class Graph:
     """Arcs between nodes as places in sorted order."""
 
-    def __init__(self, edges: DataFrame):
-        table = edges.select("src", "dst").toArrow()
+    def __init__(self, edges: DataFrame | pa.Table):
+        table = edges if isinstance(edges, pa.Table) else edges.select("src", "dst").toArrow()
         self.names, (src, dst) = coded(table.column("src"), table.column("dst"))
         del table
         n = len(self.names)
@@ -168,14 +168,20 @@ class Graph:
                 levels.append((at, to, arc))
         return dist, sigma, levels
 
+    def sweep(self, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distances and numbers of paths as in ``walk``, and what the shortest paths from ``roots`` send over each edge."""
+        total = np.zeros(len(self.u))
+        dist, sigma, levels = self.walk(roots)
+        credit = np.ones(len(sigma))
+        for at, to, arc in reversed(levels):
+            flow = credit[to] * sigma[at] / sigma[to]
+            np.add.at(credit, at, flow)
+            np.add.at(total, self.edge[arc], flow)
+        return dist, sigma, total
+
     def flows(self, share: int, shares: int, at_once: int = AT_ONCE) -> np.ndarray:
         """What the shortest paths from the roots of ``share`` send over each edge."""
         total = np.zeros(len(self.u))
         for roots in self.batches(share, shares, at_once):
-            _, sigma, levels = self.walk(roots)
-            credit = np.ones(len(sigma))
-            for at, to, arc in reversed(levels):
-                flow = credit[to] * sigma[at] / sigma[to]
-                np.add.at(credit, at, flow)
-                np.add.at(total, self.edge[arc], flow)
+            total += self.sweep(roots)[2]
         return total

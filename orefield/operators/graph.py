@@ -9,15 +9,15 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orefield.operators import division
 from orefield.operators.compact import Graph, Sets, in_shares
 from orefield.operators.hotkeys import bounded_broadcast
 from orefield.operators.meeting import meet, rare_part, shared_counts, sized_tokens
-from orefield.session import cut_lineage, default_parallelism
+from orefield.session import cut_lineage, default_parallelism, ship_package
 
 #: Up to so many (node, item) rows (counted) go to every task, which pairs its share of the nodes.
 LOCAL_ROWS = 2_000_000
@@ -159,7 +159,7 @@ def shortest_paths(edges: DataFrame, roots: DataFrame | None = None, local_edges
     return reduce(DataFrame.unionByName, seen)
 
 
-#: Up to so many edges (counted) the divisive loop runs in one task, since a cut there takes less than the jobs of a cut over tables.
+#: Up to so many edges (counted) the divisive loop runs in one task, however many nodes they link; a cut there takes less than the jobs of a cut over tables.
 LOCAL_EDGES = 10_000
 #: Roots whose paths are held in tables at a time.
 ROOTS = 5_000
@@ -245,111 +245,27 @@ def modularity(edges: DataFrame, membership: DataFrame) -> float:
     return round(q, 4) if q is not None else 0.0
 
 
-def _adjacent(pairs: list[tuple]) -> dict:
-    adjacent: dict = {}
-    for x, y in pairs:
-        adjacent.setdefault(x, set()).add(y)
-    return adjacent
-
-
-def _walk_flows(adjacent: dict, roots) -> dict:
-    """What the shortest paths from ``roots`` send over each edge (u, v), u < v, in memory."""
-    total: dict = {}
-    for root in roots:
-        dist, sigma, order, before = {root: 0}, {root: 1.0}, [root], {root: []}
-        for x in order:  # grows while it is read: breadth first
-            for y in adjacent[x]:
-                if y not in dist:
-                    dist[y], sigma[y], before[y] = dist[x] + 1, 0.0, []
-                    order.append(y)
-                if dist[y] == dist[x] + 1:
-                    sigma[y] += sigma[x]
-                    before[y].append(x)
-        credit = dict.fromkeys(order, 1.0)
-        for y in reversed(order):
-            for x in before[y]:
-                flow = credit[y] * sigma[x] / sigma[y]
-                credit[x] += flow
-                edge = (x, y) if x < y else (y, x)
-                total[edge] = total.get(edge, 0.0) + flow
-    return total
-
-
-def _edge_credits(adjacent: dict, part: set) -> dict:
-    """Betweenness (u, v), u < v, of the edges of one component, rounded as in ``edge_betweenness``."""
-    return {edge: round(flow / 2, 9) for edge, flow in _walk_flows(adjacent, part).items()}
-
-
-def _reached(adjacent: dict, start) -> set:
-    seen, todo = {start}, [start]
-    while todo:
-        for y in adjacent[todo.pop()]:
-            if y not in seen:
-                seen.add(y)
-                todo.append(y)
-    return seen
-
-
-def _divide(pairs: list[tuple], max_cuts: int | None, slack: float) -> tuple[dict, float]:
-    """The loop of ``girvan_newman`` over (src, dst) pairs in memory: ({node: component}, modularity).
-
-    A cut changes the betweenness of its own component only, and the score only if the component falls apart.
-    """
-    adjacent = _adjacent(pairs)
-    degree = {x: len(near) for x, near in adjacent.items()}
-    original = {x: frozenset(near) for x, near in adjacent.items()}
-    every = sum(degree.values())
-    where, credits, inside = {}, {}, {}
-
-    def settle(part: set) -> None:
-        name = min(part)
-        where.update(dict.fromkeys(part, name))
-        credits[name] = _edge_credits(adjacent, part)
-        inside[name] = sum(len(original[x] & part) for x in part) / every - (sum(degree[x] for x in part) / every) ** 2
-
-    for x in sorted(adjacent):
-        if x not in where:
-            settle(_reached(adjacent, x))
-    best, best_score, cuts = dict(where), -1.0, 0
-    while (max_cuts is None or cuts < max_cuts) and any(credits.values()):
-        _, u, v = min((-flow, u, v) for found in credits.values() for (u, v), flow in found.items())
-        adjacent[u].discard(v)
-        adjacent[v].discard(u)
-        cuts += 1
-        part = _reached(adjacent, u)
-        settle(part)
-        if v not in part:
-            settle(_reached(adjacent, v))
-        elif cuts > 1:
-            continue  # the same partition and score as before
-        score = round(sum(inside.values()), 4)
-        if score >= best_score:
-            best, best_score = dict(where), score
-        elif score < best_score - slack:
-            break
-        if len(inside) == len(adjacent):
-            break
-    return best, best_score
-
-
 def girvan_newman(edges: DataFrame, max_cuts: int | None = None, slack: float = 0.1, local_edges: int = LOCAL_EDGES) -> tuple[DataFrame, float]:
     """Communities of greatest modularity found by cutting the edge of highest betweenness again and again: ((node, component), modularity).
 
     Scores use the original graph. Scoring starts after the first cut, a later partition wins ties, and the loop stops when the score
     falls ``slack`` below the best or when every node stands alone; ``max_cuts`` stops it earlier, by default nothing does. Ties for
-    the top edge go to the smaller edge. A graph of at most ``local_edges`` edges (counted) is divided in one task, a larger one over tables.
+    the top edge go to the smaller edge. A graph of at most ``local_edges`` edges, or of nodes whose pairs can be held (both counted), is divided
+    in one task that keeps betweenness up from cut to cut, a larger one over tables (with ``local_edges`` 0 any but an empty one).
     """
     original = cut_lineage(edges)
-    if original.limit(2 * local_edges + 1).count() <= 2 * local_edges:
+    small = original.limit(2 * local_edges + 1).count() <= 2 * local_edges
+    if small or local_edges and vertices(original).count() <= division.DENSE:
+        ship_package(original.sparkSession)
         kind = original.schema["src"].dataType.simpleString()
 
-        def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rows = pd.concat([pd.DataFrame(columns=["src", "dst"]), *batches])
-            found, score = _divide(list(zip(rows["src"].tolist(), rows["dst"].tolist())), max_cuts, slack)
-            yield pd.DataFrame({"node": list(found), "component": list(found.values()), "score": score})
+        def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if held := list(batches):
+                rows = pa.Table.from_batches(held)
+                nodes, parts, score = division.divide(rows.column("src"), rows.column("dst"), max_cuts, slack)
+                yield pa.RecordBatch.from_arrays([nodes, parts, pa.array([score] * len(nodes))], ["node", "component", "score"])
 
-        ordered = original.repartition(1).sortWithinPartitions("src", "dst")
-        found = cut_lineage(ordered.mapInPandas(divide, f"node {kind}, component {kind}, score double"))
+        found = cut_lineage(original.repartition(1).mapInArrow(divide, f"node {kind}, component {kind}, score double"))
         row = found.select("score").first()
         return found.select("node", "component"), row["score"] if row else -1.0
     current, nodes = original, cut_lineage(vertices(original))
