@@ -94,7 +94,7 @@ def edge_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges with their betweenness as lines, the highest first."""
     path = _folder(spark)
     found = graph.edge_betweenness(gq.edges(spark, sf_dir)).withColumn("betweenness", F.round("betweenness", 6))
-    writers.text_file(writers.edge_lines(found), path)
+    writers.edge_file(found, path)
     return _lines(spark, path)
 
 

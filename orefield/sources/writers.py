@@ -54,6 +54,12 @@ def edge_lines(edges: DataFrame) -> DataFrame:
     return edges.select((-F.col("betweenness")).alias("falling"), "u", "v", F.format_string("('%s', '%s'), %s", "u", "v", F.col("betweenness").cast("string")).alias("value"))
 
 
+def edge_file(edges: DataFrame, path: str) -> None:
+    """``edge_lines`` as one file, overwriting: lines are made after the exchange, which takes the edges only."""
+    ordered = edges.select("u", "v", "betweenness").repartition(1).sortWithinPartitions(F.desc("betweenness"), "u", "v")
+    edge_lines(ordered).select("value").write.mode("overwrite").text(path)
+
+
 def flags_line(flags: DataFrame, ordinal: str, flag: str) -> DataFrame:
     """All flags in input order, each followed by a blank, in one line."""
     ordered = F.sort_array(F.collect_list(F.struct(ordinal, flag)))

@@ -55,6 +55,16 @@ def test_writers(spark, tmp_path):
     assert lines(tmp_path / "csv")[0] == "i,f"
 
 
+def test_edge_lines_are_made_after_the_exchange(spark, tmp_path, monkeypatch):
+    edges = spark.createDataFrame([("b", "c", 1.5), ("a", "c", 3.0), ("a", "b", 1.5)], "u string, v string, betweenness double")
+    made, edge_lines = [], writers.edge_lines
+    monkeypatch.setattr(writers, "edge_lines", lambda df: made.append(df) or edge_lines(df))
+    for _ in range(2):
+        writers.edge_file(edges.repartition(3), str(tmp_path / "edges"))
+    assert lines(tmp_path / "edges") == ["('a', 'c'), 3.0", "('a', 'b'), 1.5", "('b', 'c'), 1.5"]
+    assert [df.rdd.getNumPartitions() for df in made] == [1, 1]
+
+
 def test_kept_tables_are_given_back(spark):
     df = spark.range(100).withColumn("x", F.col("id") * 2)
     with reused(df) as kept:
